@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.names import _NARROW, _WIDE
 from corpusloom.tables import table
 
-from . import caps, quota, topn
+from . import caps, encode, neardup, quota, topn
 from .candidates import RANK, present_name, rank_columns, scenes, with_scene
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,29 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     rows, weights = _quota_rows(spark, d)
     plan = quota.quota_plan(rows, weights, share=5, floor=2)
     return quota.draw(rows, plan).select(F.col("_group").alias("run_id"), F.col("_id").alias("id"), F.col("category").alias("scene_key"))
+
+
+# 4. near-duplicate records with small edits
+
+
+@query()
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of sentences that share at least 70 % of their words."""
+    links, members = neardup.near_duplicates(table(spark, d, "sentences"), t=0.7)
+    return neardup.expand_pairs(links, members)
+
+
+@query()
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each sentence with the class of near-duplicates it belongs to and its number of similar word sets."""
+    links, members = neardup.near_duplicates(table(spark, d, "sentences"), t=0.8)
+    return neardup.classes(neardup.cut_lineage(links), members)
+
+
+# 6. encoding of the whole corpus with a public tokenizer
+
+
+@query()
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode.encode_corpus(table(spark, d, "documents"))
