@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.names import _NARROW, _WIDE
 from corpusloom.tables import table
 
-from . import caps, encode, neardup, quota, topn
+from . import caps, encode, neardup, pairs, quota, topn
 from .candidates import RANK, present_name, rank_columns, scenes, with_scene
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,15 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.classes(neardup.cut_lineage(links), members)
 
 
+# 5. broken prompt and response pairs
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective translations with their type of defect."""
+    return pairs.broken_pairs(table(spark, d, "sentences"))
+
+
 # 6. encoding of the whole corpus with a public tokenizer
 
 
