@@ -116,22 +116,28 @@ class VantageJoin:
 
 
 def word_sets(rows: DataFrame) -> DataFrame:
-    """(_id, _set, _words): each text's set key and its sorted distinct words. Texts without words are keyed by text."""
+    """(_id, _set, _words): each text's set key and the hashes of its distinct words. Texts without words are keyed by text."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for b in batches:
             sets, keys = [], []
             for text in b["_text"].to_pylist():
                 ws = sorted(set(words(text)))
-                known = " ".join(ws) if ws else "\0" + (text or "")
-                sets.append(ws)
-                keys.append(hashlib.blake2b(known.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.string()))], ["_id", "_set", "_words"])
+                said = " ".join(ws) if ws else "\0" + (text or "")
+                keys.append(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                for w in ws:
+                    if w not in known:
+                        known[w] = word_hash(w)
+                sets.append([known[w] for w in ws])
+            if len(known) > 500_000:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([b["_id"], pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["_id", "_set", "_words"])
 
-    return rows.select("_id", "_text").mapInArrow(task, "_id string, _set binary, _words array<string>")
+    return rows.select("_id", "_text").mapInArrow(task, "_id string, _set binary, _words array<bigint>")
 
 
-def frequent_words(sets: DataFrame) -> dict[str, int]:
+def frequent_words(sets: DataFrame) -> dict[int, int]:
     """Words with at least 1/HEAVY_WORDS of all word occurrences in distinct sets, with their counts: at most HEAVY_WORDS."""
     total = sets.agg(F.sum(F.size("_words"))).first()[0] or 0
     least = max(2, -(-total // HEAVY_WORDS))
@@ -139,24 +145,18 @@ def frequent_words(sets: DataFrame) -> dict[str, int]:
     return {r["w"]: r["count"] for r in counts.collect()}
 
 
-def _prefixes(frequent: dict[str, int], t: float):
-    """Task: (_shard, _set, _order, _n) for each prefix word; _order is the set as word hashes, rare words first."""
+def _prefixes(frequent: dict[int, int], t: float):
+    """Task: (_shard, _set, _order) for each prefix word; _order is the set, rare words first."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int]] = {}
         for b in batches:
             shard, keys, orders = [], [], []
             for key, ws in zip(b["_set"].to_pylist(), b["_words"].to_pylist()):
-                for w in ws:
-                    if w not in known:
-                        known[w] = (frequent.get(w, 0), word_hash(w))
-                order = [h for _, h in sorted(known[w] for w in ws)]
+                order = [h for _, h in sorted([(frequent.get(h, 0), h) for h in ws])]
                 for h in order[: len(order) - math.ceil(t * len(order) - 1e-9) + 1]:
                     shard.append(h)
                     keys.append(key)
                     orders.append(order)
-            if len(known) > 500_000:
-                known.clear()
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(keys, pa.binary()), pa.array(orders, pa.list_(pa.int64()))], ["_shard", "_set", "_order"])
 
     return task
