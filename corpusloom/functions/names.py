@@ -15,7 +15,7 @@ _NARROW = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 
 def fold_width_and_case(text: Column) -> Column:
     """Lower-cased text with full-width ASCII made narrow and invisible (format) characters dropped."""
-    visible = F.regexp_replace(text, r"[\p{Cf}­͏ᅟᅠ᠎]", "")
+    visible = F.regexp_replace(text, r"[\p{Cf}\p{Cc}­͏ᅟᅠ᠎&&[^\t\n\r\f\x0B\x85]]", "")
     return F.lower(F.translate(visible, _WIDE, _NARROW))
 
 

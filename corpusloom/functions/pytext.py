@@ -12,19 +12,19 @@ _WORD = re.compile(r"[^\W_]+")
 _APOSTROPHES = "'‘’ʼʹ′＇`´"
 _INVISIBLE = "".join(
     chr(c)
-    for r in ((0x00AD, 0x00AE), (0x034F, 0x0350), (0x061C, 0x061D), (0x180B, 0x180F), (0x200B, 0x2010), (0x202A, 0x202F), (0x2060, 0x2070), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFFF9, 0xFFFC))
+    for r in ((0x0000, 0x0009), (0x000E, 0x001C), (0x007F, 0x0085), (0x0086, 0x00A0), (0x00AD, 0x00AE), (0x034F, 0x0350), (0x061C, 0x061D), (0x180B, 0x180F), (0x200B, 0x2010), (0x202A, 0x202F), (0x2060, 0x2070), (0xFE00, 0xFE10), (0xFEFF, 0xFF00), (0xFFF9, 0xFFFC))
     for c in range(*r)
 )
 _DROP = dict.fromkeys(map(ord, _APOSTROPHES + _INVISIBLE))
 
 
 def fold(text: str) -> str:
-    """Text without tags, entities, invisible characters and apostrophes, in compatibility form and case-folded."""
+    """Text without tags, entities, invisible or control characters and apostrophes, in compatibility form and case-folded."""
+    text = text.translate(_DROP)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
-        text = html.unescape(text)
-    text = text.translate(_DROP)
+        text = html.unescape(text).translate(_DROP)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text).translate(_DROP)
     return text.casefold()
