@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.names import _NARROW, _WIDE
 from corpusloom.tables import table
 
-from . import caps, encode, neardup, pairs, quota, topn
+from . import caps, cutoff, encode, leakage, neardup, pairs, quota, topn
 from .candidates import RANK, present_name, rank_columns, scenes, with_scene
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """The token ids of every document."""
     return encode.encode_corpus(table(spark, d, "documents"))
+
+
+# 7. evaluation texts leaking into training text
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least eight consecutive words of a benchmark item."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), size=8)
+
+
+@query()
+def p7_renamed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 24 consecutive words of a benchmark item under one renaming of its numbers, units and names."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"), size=24, renamed=True)
+
+
+# 8. text cut off by field limits
+
+
+@query()
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose stored text ends before its original did."""
+    return cutoff.cut_off(table(spark, d, "documents")).select("doc_id")
+
+
+@query()
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source's texts are cut off."""
+    return cutoff.cut_rates(cutoff.score_texts(table(spark, d, "documents")))
