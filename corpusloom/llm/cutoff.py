@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.tables import broadcast_if_small
+from corpusloom.tables import broadcast_if_small, cut_lineage
 
 #: Size of the hashed feature space.
 DIMENSIONS = 1 << 17
@@ -192,16 +192,18 @@ def fit_model(x: np.ndarray, y: np.ndarray) -> LogisticRegression:
 def source_limits(texts: DataFrame) -> DataFrame:
     """(_source, _chars, _bytes): the length in characters and in bytes that each source's texts end at most often, where
     that is often enough to be a limit; null otherwise. Counted over all texts."""
-    totals = texts.groupBy("_source").agg(F.count("*").alias("_all"))
+    lengths = texts.select("_source", F.length("_text").alias("_c"), F.octet_length("_text").alias("_b"))
+    lengths = cut_lineage(lengths.groupBy("_source", "_c", "_b").agg(F.count("*").alias("_n")))
+    totals = lengths.groupBy("_source").agg(F.sum("_n").alias("_all"))
 
     def most(length, name):
-        n = texts.select("_source", length.alias("_len")).filter(F.col("_len") >= 64).groupBy("_source", "_len").agg(F.count("*").alias("_n"))
-        top = n.groupBy("_source").agg(F.max(F.struct("_n", "_len")).alias("_top"))
+        n = lengths.filter(F.col(length) >= 64).groupBy("_source", length).agg(F.sum("_n").alias("_n"))
+        top = n.groupBy("_source").agg(F.max(F.struct("_n", length)).alias("_top"))
         enough = (F.col("_top._n") >= LIMIT_COUNT) & (F.col("_top._n") >= LIMIT_SHARE * F.col("_all"))
-        return top.join(totals, "_source").filter(enough).select("_source", F.col("_top._len").alias(name))
+        return top.join(totals, "_source").filter(enough).select("_source", F.col(f"_top.{length}").alias(name))
 
-    chars, size = most(F.length("_text"), "_chars"), most(F.octet_length("_text"), "_bytes")
-    return chars.join(size, "_source", "full_outer")
+    chars, size = most("_c", "_chars"), most("_b", "_bytes")
+    return cut_lineage(chars.join(size, "_source", "full_outer"))
 
 
 def _with_limits(texts: DataFrame) -> DataFrame:
@@ -244,7 +246,7 @@ def score_texts(rows: DataFrame, *, ident: str = "doc_id", text: str = "text", s
     gives no rows. Only the three named columns are read, so other columns play no part.
     """
     read = rows.select(F.col(ident).alias("_id"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).alias("_named"), F.col(text).alias("_text"))
-    said = F.length(F.regexp_replace(F.coalesce("_text", F.lit("")), r"[\s\p{Cf}\p{Cc}]+", "")) > 0
+    said = F.coalesce(F.col("_text").rlike(r"[^\s\p{Cf}\p{Cc}]"), F.lit(False))  # ends at the first visible character
     texts = _with_limits(read.filter(said).select("_id", "_source", "_text"))
     kind, source_kind = rows.schema[ident].dataType.simpleString(), rows.schema[source].dataType.simpleString()
     model = read.sparkSession.sparkContext.broadcast(train(texts, documents=documents))
