@@ -43,7 +43,7 @@ def test_dedupe_equals_the_sequential_procedure(spark, seed):
     vocabulary = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
     texts = []
     for _ in range(150):
-        base = r.choice(texts).split() if texts and r.random() < 0.7 else [r.choice(vocabulary) for _ in range(r.randrange(0, 12))]
+        base = r.choice(texts).split() if texts and r.random() < 0.7 else [r.choice(vocabulary) for _ in range(r.choice([0, 2, 20, 30]))]
         if base and r.random() < 0.6:
             base = list(base)
             base[r.randrange(len(base))] = r.choice(vocabulary)
@@ -53,7 +53,7 @@ def test_dedupe_equals_the_sequential_procedure(spark, seed):
     want = sequential([(x["id"], x["protected"]) for x in items.collect()], prints)
     got = {x["id"]: (x["decision"], x["duplicate_of"]) for x in D.dedupe(items).collect()}
     assert got == want
-    assert Counter(d for d, _ in want.values())["near_duplicate"] > 5
+    assert Counter(d for d, _ in want.values())["near_duplicate"] > 3
     assert D.dedupe(items.limit(0)).count() == 0
 
 
