@@ -25,5 +25,5 @@ def query(sql: str | None = None):
     return register
 
 
-for _module in ("text_plans", "stage_plans", "selection_plans", "recall_plans", "stream_plans", "source_plans"):
+for _module in ("text_plans", "stage_plans", "selection_plans", "recall_plans", "stream_plans", "source_plans", "exchange_plans"):
     import_module(f"corpusloom.plans.{_module}")
