@@ -56,11 +56,12 @@ def near_edges(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Each of the four bands is an equality key, so candidates come from a hash join; only identifiers and words travel.
     Texts without content words are similar to nothing and stay out, or they would meet in one bucket.
     """
-    each = texts.filter(F.size("words") > 0).select("id", "words", F.posexplode("bands").alias("band", "value"))
-    left, right = each.select("band", "value", F.col("id").alias("id_l"), F.col("words").alias("l")), each.select("band", "value", F.col("id").alias("id_r"), F.col("words").alias("r"))
+    each = texts.filter(F.size("words") > 0).select("id", "words", "bands", F.posexplode("bands").alias("band", "value"))
+    left, right = (each.select("band", "value", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "words", "bands")]) for side in "lr")
     pairs = left.join(right, ["band", "value"]).filter(F.col("id_l") < F.col("id_r"))
-    # the first band that a pair shares answers for it: no distinct over all pairs
-    return pairs.filter(T.jaccard(F.col("l"), F.col("r")) >= threshold).select("id_l", "id_r").distinct()
+    # only the first band that a pair shares answers for it, so no distinct over all pairs is needed
+    shared = F.array_position(F.zip_with("bands_l", "bands_r", lambda x, y: x == y), True) - 1
+    return pairs.filter((shared == F.col("band")) & (T.jaccard(F.col("words_l"), F.col("words_r")) >= threshold)).select("id_l", "id_r")
 
 
 def dedupe(items: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, hash_name: str = "blake2b") -> DataFrame:

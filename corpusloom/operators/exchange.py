@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.tables import broadcast_if_small
+
 MAX_LINE = 1 << 20
 
 
@@ -43,7 +45,7 @@ def chunks(rows: DataFrame, family: str, order: str, payload: str, *, most_rows:
 def payload_problems(rows: DataFrame, scenes: DataFrame) -> DataFrame:
     """(id, problem): classifications that break a rule: confidence within 0 and 1, scene known, top scene its own, both
     or none given."""
-    known = F.broadcast(scenes.select(F.col("scene_key").alias("sub_scene"), F.col("top_key").alias("_top")).limit(10_000))
+    known = broadcast_if_small(scenes.select(F.col("scene_key").alias("sub_scene"), F.col("top_key").alias("_top")))
     j = rows.join(known, "sub_scene", "left")
     c = F.col("confidence")
     problem = (

@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import classify as C
 from corpusloom.operators import dedupe as D
 from corpusloom.operators import select as P
-from corpusloom.tables import table
+from corpusloom.tables import broadcast_if_small, table
 
 from . import sqltext as S
 from .registry import query
@@ -140,7 +140,7 @@ def selection_pool(spark: SparkSession, d: str) -> DataFrame:
     score = F.when(F.isnan("confidence") | F.col("confidence").isNull(), 0.0).otherwise(F.col("confidence"))
     author = T.collapse(F.coalesce("source_author", F.lit("")))
     author = F.when(author == "\\N", "").otherwise(author)
-    rows = table(spark, d, "candidates").join(F.broadcast(dims), ["sub_scene", "top_scene"]).select(
+    rows = table(spark, d, "candidates").join(broadcast_if_small(dims), ["sub_scene", "top_scene"]).select(
         F.col("sub_scene").alias("scene"), "id", "run_id", F.coalesce("source_name", F.lit("")).alias("source_name"), author.alias("source_author"),
         score.alias("confidence"), F.coalesce("protected", F.lit(False)).alias("protected"), F.coalesce("tie_hash", F.lit("")).alias("tie_hash"), "quota")
     w = Window.partitionBy("scene", "id").orderBy(F.desc("confidence"), "run_id", "source_name", "source_author")

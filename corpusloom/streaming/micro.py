@@ -8,10 +8,12 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.functions.text import jaccard
 from corpusloom.operators import dedupe as D
 from corpusloom.operators.progress import LEVELS, step
 from corpusloom.tables import ensure_checkpoint_dir
@@ -55,17 +57,15 @@ def dedupe_stream(stream: DataFrame, target: str, checkpoint: str) -> None:
     layout = "id bigint, hash string, words array<string>, bands array<int>, number int"
 
     def each(batch: DataFrame, number: int) -> None:
-        if os.path.isdir(target.removeprefix("file:")):
+        try:
             earlier = spark.read.schema(layout).parquet(target).filter(F.col("number") < number).drop("number")
-        else:
+        except AnalysisException:  # the first batch: there is no folder yet
             earlier = spark.createDataFrame([], layout).drop("number")
         prints = D.fingerprints(batch)
         known = earlier.select("hash").distinct()
         fresh = prints.join(known, "hash", "left_anti")
         new = fresh.select(F.posexplode("bands").alias("band", "value"), "id", "words")
         old = earlier.select(F.posexplode("bands").alias("band", "value"), F.col("words").alias("there"))
-        from corpusloom.functions.text import jaccard
-
         near = new.join(old, ["band", "value"]).filter(jaccard(F.col("words"), F.col("there")) >= D.THRESHOLD).select("id").distinct()
         left = batch.join(fresh.select("id"), "id", "left_semi").join(near, "id", "left_anti")
         accepted = D.dedupe(left).filter("decision = 'accepted'").select("id")
