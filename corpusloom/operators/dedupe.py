@@ -69,37 +69,37 @@ def dedupe(items: DataFrame, *, text: str = "text", threshold: float = THRESHOLD
 
     The result is that of going through the items by id: an item whose hash an accepted one has is an exact duplicate,
     one with a near neighbour among the accepted a near duplicate of the smallest; protected items are always accepted.
-    Copies of a text share one node, decided at its smallest id; nodes are decided in rounds, all at once whose
+    A text has at most two nodes, however many copies: its first item, and its first protected one, which is accepted
+    from the start; no other copy can decide anything before these. Nodes are decided in rounds, all at once whose
     smaller neighbours are decided. Each round is kept in the checkpoint folder.
     """
-    prints = cut_lineage(fingerprints(items, text=text, hash_name=hash_name).join(items.select("id", F.coalesce("protected", F.lit(False)).alias("protected")), "id"))
-    first = prints.groupBy("hash").agg(F.min("id").alias("first_id"), F.min_by("words", "id").alias("words"), F.min_by("bands", "id").alias("bands"))
-    near = near_edges(first.select(F.col("first_id").alias("id"), "words", "bands"), threshold)
-    # protected copies are nodes of their own; near edges run between all nodes of two texts, from smaller to larger id
-    nodes = prints.join(first.select("hash", "first_id"), "hash").filter((F.col("id") == F.col("first_id")) | F.col("protected")).select("id", "first_id", "protected")
-    nodes = cut_lineage(nodes)
+    spared = items.select("id", F.coalesce("protected", F.lit(False)).alias("protected"))
+    prints = cut_lineage(fingerprints(items, text=text, hash_name=hash_name).join(spared, "id"))
+    texts = cut_lineage(prints.groupBy("hash").agg(
+        F.min("id").alias("first_id"), F.min(F.when(F.col("protected"), F.col("id"))).alias("safe_id"), F.min_by("words", "id").alias("words"), F.min_by("bands", "id").alias("bands")))
+    near = cut_lineage(near_edges(texts.select(F.col("first_id").alias("id"), "words", "bands"), threshold))
     linked = near.union(near.select("id_r", "id_l")).toDF("a", "b")
-    edges = linked.join(nodes.select(F.col("first_id").alias("a"), F.col("id").alias("l")), "a").join(nodes.select(F.col("first_id").alias("b"), F.col("id").alias("r")), "b")
-    copies = nodes.select(F.col("first_id").alias("a"), F.col("id").alias("l")).join(nodes.select(F.col("first_id").alias("a"), F.col("id").alias("r")), "a")
-    edges = cut_lineage(edges.select("l", "r", F.lit(False).alias("same")).unionByName(copies.select("l", "r", F.lit(True).alias("same"))).filter("l < r"))
-    state = nodes.select("id", "protected", F.when(F.col("protected"), "accepted").alias("state"))
+    safe = F.coalesce(F.col("safe_id") == F.col("first_id"), F.lit(False))
+    state = texts.select(F.col("first_id").alias("id"), "safe_id", F.when(safe, "accepted").alias("state"))
     while True:
-        seen = edges.join(state.select(F.col("id").alias("l"), F.col("state").alias("left")), "l")
-        about = seen.groupBy(F.col("r").alias("id")).agg(
-            F.max(F.coalesce(F.col("left") == "accepted", F.lit(False))).alias("hit"), F.max(F.col("left").isNull()).alias("open"))
-        state = cut_lineage(state.join(about, "id", "left").select(
-            "id", "protected",
-            F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("hit"), "rejected").when(F.coalesce("open", F.lit(False)), None).otherwise("accepted").alias("state")))
+        # a neighbour text counts if its protected node, or its accepted first one, comes before the item
+        seen = linked.join(state.select(F.col("id").alias("a"), F.col("safe_id").alias("a_safe"), F.col("state").alias("a_state")), "a")
+        before = F.col("a") < F.col("b")
+        hit = F.coalesce(F.col("a_safe") < F.col("b"), F.lit(False)) | (before & F.coalesce(F.col("a_state") == "accepted", F.lit(False)))
+        about = seen.groupBy(F.col("b").alias("id")).agg(F.max(hit).alias("hit"), F.max(before & F.col("a_state").isNull()).alias("open"))
+        decided = F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("hit"), "rejected").when(F.coalesce("open", F.lit(False)), None).otherwise("accepted")
+        state = cut_lineage(state.join(about, "id", "left").select("id", "safe_id", decided.alias("state")))
         if not state.filter(F.col("state").isNull()).limit(1).count():
             break
-    accepted = state.filter("state = 'accepted'").select("id")
-    kept = nodes.join(accepted, "id").select(F.col("first_id").alias("t"), F.col("id").alias("kept"))
-    own = prints.join(first.select("hash", "first_id"), "hash").select("id", "first_id")
-    exact = own.join(kept, own["first_id"] == kept["t"]).filter("kept < id").groupBy("id").agg(F.min("kept").alias("exact_of"))
-    close = own.join(linked, own["first_id"] == linked["a"]).join(kept, F.col("b") == kept["t"]).filter("kept < id").groupBy("id").agg(F.min("kept").alias("near_of"))
-    every = own.select("id").join(accepted.withColumn("ok", F.lit(True)), "id", "left").join(exact, "id", "left").join(close, "id", "left")
-    decision = F.when(F.col("ok"), "accepted").when(F.col("exact_of").isNotNull(), "exact_duplicate").otherwise("near_duplicate")
-    return every.select("id", decision.alias("decision"), F.when(~F.coalesce("ok", F.lit(False)), F.coalesce("exact_of", "near_of")).alias("duplicate_of"))
+    kept = state.select(F.col("id").alias("t"), F.when(F.col("state") == "accepted", F.col("id")).otherwise(F.col("safe_id")).alias("kept")).filter("kept IS NOT NULL")
+    own = prints.select("id", "hash", "protected").join(texts.select("hash", "first_id"), "hash")
+    beside = linked.join(kept, F.col("b") == F.col("t")).select("a", "kept")
+    exact = own.join(kept, own["first_id"] == kept["t"]).filter("kept < id").select("id", F.col("kept").alias("exact_of"))
+    close = own.join(beside, own["first_id"] == beside["a"]).filter("kept < id").groupBy("id").agg(F.min("kept").alias("near_of"))
+    every = own.select("id", "protected", "first_id").join(exact, "id", "left").join(close, "id", "left")
+    decision = F.when(F.col("protected"), "accepted").when(F.col("exact_of").isNotNull(), "exact_duplicate").when(F.col("near_of").isNotNull(), "near_duplicate").otherwise("accepted")
+    every = every.withColumn("decision", decision)
+    return every.select("id", "decision", F.when(F.col("decision") != "accepted", F.coalesce("exact_of", "near_of")).alias("duplicate_of"))
 
 
 def against_base(items: DataFrame, base: DataFrame, *, text: str = "text") -> DataFrame:
