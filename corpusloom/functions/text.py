@@ -118,3 +118,19 @@ def phrase_present(tokens: Column, phrase: Column) -> Column:
 
 def normalize_answer(answer: Column) -> Column:
     return F.lower(collapse(F.translate(answer, QUOTES_FROM, QUOTES_TO)))
+
+
+def parse_tags(value: Column) -> Column:
+    """The tags of a forum post, written ``<a><b>`` or ``|a|b|``."""
+    return F.regexp_extract_all(value, F.lit("[^<>|]+"), F.lit(0))
+
+
+def licence_key(value: Column) -> Column:
+    """One spelling per licence: upper case, single dashes, version kept ("cc by-sa 4.0" and "CC-BY-SA-4.0" agree)."""
+    return F.regexp_replace(F.upper(collapse(value)), "[ _-]+", "-")
+
+
+def exam_level(path: Column) -> Column:
+    """The level an exam file is of, by the folder or file name; null if none is named."""
+    low = F.lower(path)
+    return F.when(low.rlike("cet[-_ ]?6|level[-_ ]?6"), "6").when(low.rlike("cet[-_ ]?4|level[-_ ]?4"), "4")

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.select import assign
+from corpusloom.tables import cut_lineage
+
 #: A set of prototypes that one task scores at once; more are scored in blocks.
 MAX_PROTOTYPES = 20_000
 
@@ -76,6 +80,33 @@ def vector_top_k(pool: DataFrame, prototypes: DataFrame, k: int, *, exclude: Dat
     return near.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def within_capacity(pool: DataFrame, prototypes: DataFrame, top_k: int, *, source_room: dict[str, int], author_room: dict[str, int], exclude: DataFrame | None = None) -> DataFrame:
+    """(label, vec_id, similarity): per label up to ``top_k`` vectors, the most similar ones that fit the room their
+    source and author have left; names without an entry have none, blank authors need none.
+
+    ``pool`` also has source_name and source_author. The assignment works on the 16 ``top_k`` nearest vectors, twice as
+    many as long as a label stays short although the pool has more, so its result is that of the whole pool.
+    """
+    k = 16 * top_k
+    while True:
+        near = vector_top_k(pool, prototypes, k, exclude=exclude).join(pool.select("vec_id", "source_name", "source_author"), "vec_id")
+
+        def choose(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["similarity", "vec_id"], ascending=[False, True]).reset_index(drop=True)
+            named = frame["source_author"].fillna("").str.strip()
+            loss = ((1 - frame["similarity"]) * 1_000_000).round().astype("int64") * (len(frame) * (top_k + 1) + 1) + frame.index
+            rows = list(zip(frame["source_name"], [a or None for a in named], loss.tolist()))
+            picked = frame.iloc[assign(rows, top_k, source_room, author_room)]
+            return picked.assign(seen=len(frame))[["label", "vec_id", "similarity", "seen"]]
+
+        kind = near.schema["label"].dataType.simpleString()
+        chosen = cut_lineage(near.groupBy("label").applyInPandas(choose, f"label {kind}, vec_id bigint, similarity double, seen bigint"))
+        counts = chosen.groupBy("label").agg(F.count("*").alias("n"), F.max("seen").alias("seen"))
+        if not counts.filter((F.col("n") < top_k) & (F.col("seen") >= k)).limit(1).count():
+            return chosen.drop("seen")
+        k *= 2
+
+
 def lexical_conflicts(plain: DataFrame, scores: DataFrame, found: DataFrame, scene: str, keywords: list[str], phrases: list[str]) -> DataFrame:
     """(id, competing_scene, triggers, confidence): undecided items that hold a requested strong signal of ``scene``
     while another scene scores too, best first by confidence.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import io
 import json
@@ -129,6 +130,20 @@ def question_answers(members: DataFrame) -> DataFrame:
     return _rows_of(members, read, "member string, focus string, question string, answer string")
 
 
+def clinical_dialogues(members: DataFrame) -> DataFrame:
+    """(split, id, dialogue) of CSV members with the columns ID and dialogue, in any case; the split is in the file name.
+    ``readers.speaker_turns`` cuts them into turns."""
+
+    def read(member: str, content: str):
+        split = next((s for s in ("train", "valid", "test") if s in member.lower()), "")
+        for row in csv.DictReader(io.StringIO(content)):
+            low = {k.strip().lower(): v for k, v in row.items() if k}
+            if (low.get("dialogue") or "").strip():
+                yield {"split": split, "id": low.get("id", ""), "dialogue": low["dialogue"]}
+
+    return _rows_of(members, read, "split string, id string, dialogue string")
+
+
 def meeting_words(members: DataFrame) -> DataFrame:
     """(member, pos, id, word, punctuation) of word files of a transcript, in order."""
 

@@ -145,3 +145,30 @@ def test_dedupe_stream_knows_earlier_batches(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(source)
         micro.dedupe_stream(micro.arriving(spark, source, df.schema), target, offsets)
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2, 4]
+
+
+def test_recall_within_capacity(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, r.normal(size=4).tolist(), f"s{i % 2}", f"a{i % 3}" if i % 5 else "") for i in range(60)]
+    pool = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, source_name string, source_author string")
+    protos = spark.createDataFrame([("x", [1.0, 0.0, 0.0, 0.0])], "label string, embedding array<double>")
+    got = R.within_capacity(pool, protos, 2, source_room={"s1": 9}, author_room={"a0": 1}).collect()
+    chosen = [rows[x["vec_id"]] for x in got]
+    assert len(chosen) == 2 and all(c[2] == "s1" for c in chosen) and sum(c[3] == "a0" for c in chosen) <= 1 and not any(c[3] in ("a1", "a2") for c in chosen)
+    fit = sorted((-v[0] / np.linalg.norm(v), i) for i, v, s, a in rows if s == "s1" and a in ("", "a0"))
+    best, used = [], 0
+    for _, i in fit:
+        if len(best) < 2 and (rows[i][3] == "" or used == 0):
+            best.append(i)
+            used += rows[i][3] == "a0"
+    assert sorted(best) == sorted(x["vec_id"] for x in got)
+
+
+def test_repairs(spark):
+    drafts = spark.createDataFrame([(1, "bad", "g2", ["x"]), (2, "old", "g1", ["x"])], "id int, draft string, generation string, issues array<string>")
+    items = spark.createDataFrame([(1, "He paid 7 crowns."), (2, "Old one.")], "id int, text string")
+    todo = translate.open_repairs(drafts, items, spark.createDataFrame([(1, "k"), (2, "k")], "id int, scene string"), "g2")
+    assert [r["id"] for r in todo.collect()] == [1]
+    for answer, accepted in (("他付了7克朗。", 1), ("他付了钱。", 0)):
+        done, left = translate.apply_repairs(todo, spark.createDataFrame([(1, answer, "n")], "id int, translation_zh string, review_note string"))
+        assert (done.count(), left.count()) == (accepted, 1 - accepted)

@@ -115,6 +115,9 @@ def test_archives(spark, tmp_path):
     assert [r["id"] for r in A.localised_intents(members, "en-US").collect()] == ["0"]
     z = zipped(tmp_path / "q.zip", {"a.xml": "<Document><Focus>Flu</Focus><QAPairs><QAPair><Question>What is it?</Question><Answer>A cold.</Answer></QAPair></QAPairs></Document>"})
     assert [tuple(r) for r in A.question_answers(A.archive_members(spark, z)).collect()] == [("a.xml", "Flu", "What is it?", "A cold.")]
+    z = zipped(tmp_path / "c.zip", {"MTS-train.csv": "ID,Dialogue\n1,\"Doctor: Hi.\nPatient: Hello.\"\n2,\n"})
+    talks = A.clinical_dialogues(A.archive_members(spark, z))
+    assert [(r["split"], r["speaker"], r["utterance"]) for r in R.speaker_turns(talks).collect()] == [("train", "Doctor", "Hi."), ("train", "Patient", "Hello.")]
     z = zipped(tmp_path / "w.zip", {"w.xml": '<x xmlns:nite="u"><w nite:id="w1">Hi</w><w nite:id="w2" punc="true">.</w></x>'})
     assert [(r["id"], r["word"], r["punctuation"]) for r in A.meeting_words(A.archive_members(spark, z)).collect()] == [("w1", "Hi", False), ("w2", ".", True)]
     docx = zipped(tmp_path / "d.docx", {"word/document.xml": '<d xmlns:w="u"><w:p><w:t>One </w:t><w:t>two</w:t></w:p><w:p/></d>'})
