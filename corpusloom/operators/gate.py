@@ -57,3 +57,11 @@ def clean_stage(items: DataFrame, *, text: str = "text", protected: str = "prote
     spared = F.coalesce(F.col(protected), F.lit(False))
     judged = with_rejection_reason(items, text).withColumn("reason", F.when(~spared, F.col("reason")))
     return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull()).drop("clean_text")
+
+
+def reason_counts(items: DataFrame, *, text: str = "text", protected: str = "protected") -> DataFrame:
+    """(reason, n) over the unprotected items. Nulls go after the aggregation, by its output: a filter on the key would
+    be pushed below the cascade and compute it twice."""
+    judged = with_rejection_reason(items.filter(~F.coalesce(F.col(protected), F.lit(False))), text)
+    n = judged.groupBy(F.col("reason").alias("_key")).agg(F.max("reason").alias("reason"), F.count("*").alias("n"))
+    return n.filter(F.col("reason").isNotNull()).select("reason", "n")

@@ -49,8 +49,7 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT {S.reason('text')} AS reason FROM raw_items WHERE NOT coalesce(protected, false)) WHERE reason IS NOT NULL GROUP BY reason")
 def rejection_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    _, rejected = gate.clean_stage(table(spark, d, "raw_items").select("text", "protected"))
-    return rejected.groupBy("reason").agg(F.count("*").alias("n"))
+    return gate.reason_counts(table(spark, d, "raw_items").select("text", "protected"))
 
 
 @query(f"SELECT sha256({S.normalized('text')}) AS hash, count(*) AS n, min(id) AS first_id FROM raw_items WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
