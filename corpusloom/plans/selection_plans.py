@@ -135,8 +135,8 @@ def category_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selection_pool(spark: SparkSession, d: str) -> DataFrame:
-    """One row per known scene and item among the candidates, with a hundredth of the scene's quota."""
-    dims = table(spark, d, "sub_scenes").filter("quota > 0").select(F.col("scene_key").alias("sub_scene"), F.col("top_key").alias("top_scene"), F.greatest(F.lit(1), F.floor(F.col("quota") / 100)).cast("bigint").alias("quota"))
+    """One row per known scene and item among the candidates, with the scene's quota."""
+    dims = table(spark, d, "sub_scenes").filter("quota > 0").select(F.col("scene_key").alias("sub_scene"), F.col("top_key").alias("top_scene"), F.col("quota").cast("bigint").alias("quota"))
     score = F.when(F.isnan("confidence") | F.col("confidence").isNull(), 0.0).otherwise(F.col("confidence"))
     author = T.collapse(F.coalesce("source_author", F.lit("")))
     author = F.when(author == "\\N", "").otherwise(author)
