@@ -85,8 +85,8 @@ def review_batches(spark: SparkSession, d: str) -> DataFrame:
 SELECT item_id, CASE WHEN n IS NULL THEN 'missing' WHEN a.item_id IS NULL THEN 'unexpected' ELSE 'repeated' END AS problem FROM (SELECT item_id, true AS asked FROM a) a FULL JOIN r USING (item_id) WHERE n IS NULL OR asked IS NULL OR n > 1""".replace("a.item_id IS NULL", "asked IS NULL")
 )
 def review_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Requests (items of the first runs) against results (rejections)."""
-    asked = table(spark, d, "candidates").filter("run_id <= 1003").select(F.col("id").alias("item_id"))
+    """Requests (items of all runs) against results (rejections)."""
+    asked = table(spark, d, "candidates").select(F.col("id").alias("item_id"))
     return V.coverage(asked, table(spark, d, "rejections"))
 
 

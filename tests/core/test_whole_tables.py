@@ -17,3 +17,11 @@ def test_selection_fills_the_whole_quota(spark, tmp_path):
     assert {r["id"] for r in run["selection_flow"]} == {*range(142), *range(192, 200)}  # no source reaches its limit of 67
     assert [r["broken"] for r in run["selection_flow_violations"]] == [0, 0, 0]
     assert run["protected_conflicts"] == []  # 8 protected rows are far within the quota
+
+
+def test_review_coverage_asks_for_the_items_of_all_runs(spark, tmp_path):
+    d = str(tmp_path)
+    save(spark, d, "candidates", [(1, 1), (1003, 2), (1004, 3), (1550, 4), (1550, 1)], "run_id bigint, id bigint")
+    save(spark, d, "rejections", [(1,), (3,), (5,)], "item_id bigint")
+    got = {tuple(r) for r in registry.QUERIES["review_coverage"](spark, d).collect()}
+    assert got == {(2, "missing"), (4, "missing"), (5, "unexpected")}
