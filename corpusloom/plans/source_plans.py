@@ -52,10 +52,13 @@ def source_projection(spark: SparkSession, d: str) -> DataFrame:
 SELECT segment_id, trim(string_agg(CASE WHEN punctuation THEN word ELSE ' ' || word END, '' ORDER BY pos)) AS text FROM s JOIN t ON s.meeting = t.meeting AND t.pos BETWEEN s.first AND s.last GROUP BY segment_id"""
 )
 def token_ranges(spark: SparkSession, d: str) -> DataFrame:
-    """Segments joined with the tokens in their range; positions are made of the identifiers of the test tables."""
-    s = table(spark, d, "documents").select(
-        F.col("doc_id").alias("segment_id"), (F.col("doc_id") % 7).alias("meeting"), F.lit("x").alias("speaker"), ((F.col("doc_id") * 13) % 300).alias("first"), ((F.col("doc_id") * 13) % 300 + F.col("doc_id") % 40).alias("last"))
+    """Segments joined with the tokens in their range; positions are made of the identifiers of the test tables, those of
+    the segments spread over all positions of their meeting."""
     t = table(spark, d, "raw_items").select((F.col("id") % 7).alias("meeting"), F.lit("x").alias("speaker"), F.floor(F.col("id") / 7).alias("pos"), F.col("id").cast("string").alias("word"), (F.col("id") % 5 == 0).alias("punctuation"))
+    ends = t.groupBy("meeting").agg((F.max("pos") + 1).alias("positions"))
+    first = (F.col("doc_id") * 13) % F.col("positions")
+    s = table(spark, d, "documents").withColumn("meeting", F.col("doc_id") % 7).join(F.broadcast(ends), "meeting").select(
+        F.col("doc_id").alias("segment_id"), "meeting", F.lit("x").alias("speaker"), first.alias("first"), (first + F.col("doc_id") % 40).alias("last"))
     return R.token_ranges(t, s)
 
 

@@ -25,3 +25,18 @@ def test_review_coverage_asks_for_the_items_of_all_runs(spark, tmp_path):
     save(spark, d, "rejections", [(1,), (3,), (5,)], "item_id bigint")
     got = {tuple(r) for r in registry.QUERIES["review_coverage"](spark, d).collect()}
     assert got == {(2, "missing"), (4, "missing"), (5, "unexpected")}
+
+
+def test_token_ranges_reach_all_positions(spark, tmp_path):
+    d = str(tmp_path)
+    save(spark, d, "raw_items", [(i,) for i in range(14_000)], "id bigint")
+    docs = list(range(0, 1400, 3))
+    save(spark, d, "documents", [(i,) for i in docs], "doc_id bigint")
+    got = {r["segment_id"]: r["text"] for r in registry.QUERIES["token_ranges"](spark, d).collect()}
+    want = {}
+    for i in docs:
+        first = i * 13 % 2000  # each of the seven meetings has 2,000 positions
+        ids = [7 * pos + i % 7 for pos in range(first, min(first + i % 40, 1999) + 1)]
+        want[i] = "".join(str(x) if x % 5 == 0 else f" {x}" for x in ids).strip()
+    assert got == want
+    assert max(int(w) for t in got.values() for w in t.split() if len(w) < 6) > 13_000  # the last positions too
