@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.pytext import _DROP, words
 from corpusloom.tables import cut_lineage
 
-#: Most endings kept: the rarest are those of at least 1/MOST_ENDINGS of all sound responses. Bounds the broadcast table.
+#: Most endings that are broadcast. If more are known, those of at least 1/MOST_ENDINGS of all sound responses are, and
+#: rows that end in none of them are joined with all.
 MOST_ENDINGS = 200_000
 
 #: Ways to decline, as they are compared: token by token, Chinese by character. "_" stands for any words.
@@ -170,16 +171,20 @@ class Endings:
     def key(before: str, arity: str, shape: str, after: str) -> str:
         return f"{before}|{shape or arity}|{after}"
 
-    def complete(self, prompt: str | None, response: str) -> bool:
-        """Whether the response ends in a known way."""
+    def keys(self, prompt: str | None, response: str) -> list[str]:
+        """The endings, two at most, of which a complete response has one; none if it ends in half a name."""
         before, arity, shape, after, word = self.of(response)
         own = words(word)
         if own and own[-1] not in words(prompt):
-            return False
+            return []
         shapes = {shape}
         if shape and shape in ("E" + arity, self.usual.get(arity)):
             shapes |= {"E" + arity, self.usual.get(arity, shape)}
-        return any(self.key(before, arity, x, after) in self.known for x in shapes)
+        return sorted(self.key(before, arity, x, after) for x in shapes)
+
+    def complete(self, prompt: str | None, response: str) -> bool:
+        """Whether the response ends in a known way."""
+        return not self.known.isdisjoint(self.keys(prompt, response))
 
 
 def body_of(response: str | None) -> str:
@@ -247,9 +252,10 @@ def _learn_names(rows: DataFrame) -> str:
     return "".join(sorted(r["c"] for r in found.filter(F.col("n") * 2000 >= total).collect()))
 
 
-def _learn_endings(rows: DataFrame, names: str) -> tuple[frozenset[str], dict[str, str]]:
-    """Endings of the responses that end with final punctuation, seen at least twice and in 1/MOST_ENDINGS of them, and
-    the usual shape of a transliterated name by its number of parts."""
+def _learn_endings(rows: DataFrame, names: str) -> tuple[frozenset[str], dict[str, str], DataFrame | None]:
+    """Endings of the responses that end with final punctuation, seen at least twice; the usual shape of a transliterated
+    name by its number of parts; and, if the endings are too many to broadcast and so only the most frequent come first,
+    the table of all."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[tuple[str, str]] = Counter()
@@ -265,26 +271,35 @@ def _learn_endings(rows: DataFrame, names: str) -> tuple[frozenset[str], dict[st
 
     found = rows.select("_response").mapInArrow(task, "e string, shape string, n bigint").groupBy("e", "shape").agg(F.sum("n").alias("n"))
     found = cut_lineage(found)
-    least = max(2, -(-(found.agg(F.sum("n")).first()[0] or 0) // MOST_ENDINGS))
-    kept = frozenset(r["e"] for r in found.filter(F.col("n") >= least).select("e").collect())
-    name_shapes = found.filter(F.col("shape").startswith("N")).groupBy("shape").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shape").limit(100)
-    usual: dict[str, str] = {}
-    for r in name_shapes.collect():
-        usual.setdefault(str(r["shape"].count(".") + 1), r["shape"])
-    return kept, usual
-
-
-def defect_of(prompt: str | None, response: str | None, endings: Endings) -> str | None:
-    """The defect of a pair, or None."""
+    kept, every = found.filter("n >= 2"), None
+    if kept.count() > MOST_ENDINGS:
+        every = kept.select("e").distinct()
+        kept = kept.filter(F.col("n") * MOST_ENDINGS >= found.agg(F.sum("n")).first()[0])
+    name_shapes = found.filter(F.col("shape").startswith("N")).groupBy("shape").agg(F.sum("n").alias("n"))
+    first = F.min(F.struct((-F.col("n")).alias("minus"), "shape")).alias("first")
+    usual = {str(r["arity"]): r["first"]["shape"] for r in name_shapes.groupBy(F.size(F.split("shape", "[.]")).alias("arity")).agg(first).collect()}
+    return frozenset(r["e"] for r in kept.select("e").collect()), usual, every
+
+
+def judge(prompt: str | None, response: str | None, endings: Endings) -> tuple[str | None, list[str]]:
+    """The defect of a pair, or None, and the endings any of which, if known, shows that it is none."""
     body = body_of(response)
     kind = kind_of(prompt, body, endings.names)
     if kind == "names":
-        return "truncated"
+        return "truncated", []
     if kind != "target":
-        return kind
+        return kind, []
     if _DANGLING.search(_NOTE.sub("", body).rstrip(_CLOSERS)):
-        return "truncated"
-    return None if finished(body) or _NOTE.search(body) or endings.complete(prompt, body) else "truncated"
+        return "truncated", []
+    if finished(body) or _NOTE.search(body):
+        return None, []
+    keys = endings.keys(prompt, body)
+    return ("truncated" if endings.known.isdisjoint(keys) else None), keys
+
+
+def defect_of(prompt: str | None, response: str | None, endings: Endings) -> str | None:
+    """The defect of a pair, or None."""
+    return judge(prompt, response, endings)[0]
 
 
 def broken_pairs(rows: DataFrame, *, ident: str = "id", prompt: str = "text", response: str = "translation_zh") -> DataFrame:
@@ -292,18 +307,26 @@ def broken_pairs(rows: DataFrame, *, ident: str = "id", prompt: str = "text", re
 
     Defined results: a null response is empty; a null prompt can be copied by nothing; each row is judged by itself, so
     repeated rows come out each; very long texts are aligned whole; an empty table gives no rows. Only the three named
-    columns are read, so other columns play no part. No shuffle but of counts.
+    columns are read, so other columns play no part. No shuffle but of counts and, with more than MOST_ENDINGS endings,
+    of the defective and undecided rows.
     """
     kind = rows.schema[ident].dataType.simpleString()
     read = rows.select(F.col(ident).alias("_ident"), F.col(prompt).alias("_prompt"), F.col(response).alias("_response"))
     names = _learn_names(read)
-    learned = read.sparkSession.sparkContext.broadcast((names, *_learn_endings(read, names)))
+    known, usual, every = _learn_endings(read, names)
+    learned = read.sparkSession.sparkContext.broadcast((names, known, usual))
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         endings = Endings(*learned.value)
         for b in batches:
-            found = [defect_of(p, z, endings) for p, z in zip(b["_prompt"].to_pylist(), b["_response"].to_pylist())]
-            defect = pa.array(found, pa.string())
-            yield pa.RecordBatch.from_arrays([b["_ident"], defect], ["_ident", "_defect"]).filter(defect.is_valid())
-
-    return read.mapInArrow(task, f"_ident {kind}, _defect string").toDF(ident, "defect")
+            found = [judge(p, z, endings) for p, z in zip(b["_prompt"].to_pylist(), b["_response"].to_pylist())]
+            defect = pa.array([d for d, _ in found], pa.string())
+            # a row without such an ending gets a number, which is no ending, so that these rows spread in the join
+            ends = [pa.array([keys[k] if k < len(keys) else str(i) for i, (_, keys) in enumerate(found)], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b["_ident"], defect, *ends], ["_ident", "_defect", "_end", "_other_end"]).filter(defect.is_valid())
+
+    judged = read.mapInArrow(task, f"_ident {kind}, _defect string, _end string, _other_end string")
+    if every is not None:
+        for end in ("_end", "_other_end"):
+            judged = judged.join(every.withColumnRenamed("e", end), end, "left_anti")
+    return judged.select("_ident", "_defect").toDF(ident, "defect")
