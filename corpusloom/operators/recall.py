@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,12 +35,7 @@ def vector_top_k(pool: DataFrame, prototypes: DataFrame, k: int, *, exclude: Dat
         raise ValueError("k must be positive")
     rows = [(r["label"], r["embedding"]) for r in prototypes.select("label", "embedding").dropna().orderBy("label").limit(MAX_PROTOTYPES + 1).collect()]
     if len(rows) > MAX_PROTOTYPES:
-        labels = [r["label"] for r in prototypes.select("label").distinct().orderBy("label").toLocalIterator()]
-        parts = [vector_top_k(pool, prototypes.filter(F.col("label") == label), k, exclude=exclude) for label in labels]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return _top_k_in_blocks(pool, prototypes, k, exclude)
     labels = sorted({label for label, _ in rows})
     matrix = unit(np.array([v for _, v in rows], dtype=np.float64)) if rows else np.zeros((0, 0))
     owner = np.array([labels.index(label) for label, _ in rows])
@@ -80,6 +76,23 @@ def vector_top_k(pool: DataFrame, prototypes: DataFrame, k: int, *, exclude: Dat
     return near.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def _top_k_in_blocks(pool: DataFrame, prototypes: DataFrame, k: int, exclude: DataFrame | None) -> DataFrame:
+    """``vector_top_k`` over more prototypes than one task scores: each block's k best, merged by largest similarity. A
+    vector among a label's k best is so in the block of the prototype that it is nearest to."""
+    each = cut_lineage(prototypes.select("label", "embedding").dropna().distinct())
+    blocks = max(1, -(-2 * each.count() // MAX_PROTOTYPES))  # half full on average
+    salt = 0
+    while True:
+        placed = each.withColumn("_block", F.pmod(F.xxhash64("label", "embedding", F.lit(salt)), F.lit(blocks)))
+        if (placed.groupBy("_block").count().agg(F.max("count")).first()[0] or 0) <= MAX_PROTOTYPES:
+            break
+        salt, blocks = salt + 1, 2 * blocks
+    near = [vector_top_k(pool, placed.filter(F.col("_block") == b), k, exclude=exclude) for b in range(blocks)]
+    merged = reduce(DataFrame.unionByName, near).groupBy("label", "vec_id").agg(F.max("similarity").alias("similarity"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id"))
+    return merged.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
 def within_capacity(pool: DataFrame, prototypes: DataFrame, top_k: int, *, source_room: dict[str, int], author_room: dict[str, int], exclude: DataFrame | None = None) -> DataFrame:
     """(label, vec_id, similarity): per label up to ``top_k`` vectors, the most similar ones that fit the room their
     source and author have left; names without an entry have none, blank authors need none.

@@ -1,5 +1,8 @@
 """Queries do the whole job, at sizes where a cut would show."""
 
+import numpy as np
+
+from corpusloom.operators import recall as R
 from corpusloom.plans import registry
 
 
@@ -40,3 +43,15 @@ def test_token_ranges_reach_all_positions(spark, tmp_path):
         want[i] = "".join(str(x) if x % 5 == 0 else f" {x}" for x in ids).strip()
     assert got == want
     assert max(int(w) for t in got.values() for w in t.split() if len(w) < 6) > 13_000  # the last positions too
+
+
+def test_prototypes_of_one_label_may_be_many(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    pool = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(60)], "vec_id bigint, embedding array<float>")
+    prototypes = spark.createDataFrame([("many" if i < 20 else "few", r.normal(size=4).tolist()) for i in range(23)] + [("many", [1.0, 0.0, 0.0, 0.0])] * 5, "label string, embedding array<float>")
+    exclude = spark.createDataFrame([("many", 5), ("few", 7)], "label string, vec_id bigint")
+    whole, blocks = [], []
+    for most, got in ((20_000, whole), (8, blocks)):
+        monkeypatch.setattr(R, "MAX_PROTOTYPES", most)
+        got += sorted((x["label"], x["rank"], x["vec_id"], round(x["similarity"], 9)) for x in R.vector_top_k(pool, prototypes, 6, exclude=exclude).collect())
+    assert len(whole) == 12 and blocks == whole
