@@ -1,9 +1,13 @@
-"""Samples that follow target proportions: min-cost flow on cross-classified cell counts.
+"""Samples that follow target proportions: min-cost flow on cell counts.
 
 Per group (run) the network is source -> category -> cell -> sink. The arc into a category carries its target, split
 into a floor and the rest above the floor, so that floors are filled first; a cell's arc carries the rows available
 there; a slack arc per category costs more than any real arc and takes what cells cannot give. Flow on the slack arc is
 the category's shortfall, flow on cell arcs the integer quotas of the cells, which are then drawn at random.
+
+``quota_plan`` has one cell per category: in problem 3 a row counts only if its top scene is the one that its scene decides,
+so there is no second dimension. The network then falls apart into a chain per category, with the quota min(target,
+available) and the shortfall max(0, target - available). ``cell_quotas`` takes several cells per category.
 """
 
 from __future__ import annotations

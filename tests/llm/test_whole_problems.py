@@ -1,6 +1,6 @@
 """Queries and operators of the training-data package do the whole job, at sizes and thresholds where a cut would show."""
 
-from corpusloom.llm import pairs, plans
+from corpusloom.llm import pairs, plans, quota
 
 
 def test_classes_hold_all_links_of_the_problem(spark, tmp_path):
@@ -29,3 +29,8 @@ def test_every_number_of_name_parts_has_its_usual_shape(spark):
     df = spark.createDataFrame([(f"{x}。",) for x in names], "_response string")
     usual = pairs._learn_endings(df, "兰")[1]
     assert usual == {"2": "N1.1", "3": "N1.1.1"}
+
+
+def test_flow_over_one_cell_a_category_decomposes():
+    targets, floors, have = [5, 2, 9, 4], [2, 2, 2, 2], [7, 0, 3, 4]
+    assert quota.cell_quotas(targets, floors, list(enumerate(have))) == ([5, 0, 3, 4], [0, 2, 6, 0])
