@@ -14,8 +14,8 @@ from .registry import query
 
 
 def document_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of the English documents: item_id, doc_id, pos, text."""
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    """Sentences of all documents: item_id, doc_id, pos, text."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
     each = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "text"))
     return each.select((F.col("doc_id") * 100_000 + F.col("pos")).alias("item_id"), "doc_id", "pos", "text")
 
@@ -34,7 +34,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 FROM documents WHERE lang = 'en'"""
 )
 def abbrev_safe_split(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", T.abbreviation_safe_sentences(F.col("text")).alias("sentences"))
+    return table(spark, d, "documents").select("doc_id", T.abbreviation_safe_sentences(F.col("text")).alias("sentences"))
 
 
 @query(f"SELECT id, {S.clean('text')} AS clean_text FROM raw_items")

@@ -55,3 +55,13 @@ def test_prototypes_of_one_label_may_be_many(spark, monkeypatch):
         monkeypatch.setattr(R, "MAX_PROTOTYPES", most)
         got += sorted((x["label"], x["rank"], x["vec_id"], round(x["similarity"], 9)) for x in R.vector_top_k(pool, prototypes, 6, exclude=exclude).collect())
     assert len(whole) == 12 and blocks == whole
+
+
+def test_documents_of_any_language_are_split(spark, tmp_path):
+    d = str(tmp_path)
+    langs = ["en", " en", "en-XX", "eng", "EN", None, "fr"]
+    save(spark, d, "documents", [(i, "Dr. Low came. It rained.", x) for i, x in enumerate(langs)] + [(9, None, None)], "doc_id bigint, text string, lang string")
+    split = registry.QUERIES["sentence_split"](spark, d).groupBy("doc_id").count().collect()
+    assert sorted(r["doc_id"] for r in split) == list(range(7)) and len({r["count"] for r in split}) == 1
+    safe = {r["doc_id"]: r["sentences"] for r in registry.QUERIES["abbrev_safe_split"](spark, d).collect()}
+    assert set(safe) == {*range(7), 9} and all(safe[i] == ["Dr. Low came.", "It rained."] for i in range(7))
