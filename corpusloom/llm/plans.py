@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.names import _NARROW, _WIDE
-from corpusloom.tables import table
+from corpusloom.functions.names import _NARROW, _WIDE, name_key
+from corpusloom.tables import broadcast_if_small, table
 
 from . import caps, cutoff, encode, leakage, neardup, pairs, quota, topn
 from .candidates import RANK, present_name, rank_columns, scenes, with_scene
@@ -86,10 +86,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 # 3. sample matching target category proportions
 
 
-def _quota_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int]]]:
-    from corpusloom.functions.names import name_key
-    from corpusloom.tables import broadcast_if_small
+#: Lower ends of the bands of confidence that cross-classify scenes; rows without a confidence are a band of their own.
+BANDS = (0.8, 0.6, 0.4)
+STRATA = len(BANDS) + 2
+
 
+def _quota_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """Candidates by scene, if the top scene is that scene's, and band of confidence; and the scenes' quotas."""
+    band = F.when(F.isnan("confidence"), STRATA - 1)
+    for i, least in enumerate(BANDS):
+        band = band.when(F.col("confidence") >= least, i)
+    band = band.when(F.col("confidence").isNotNull(), len(BANDS))
     dims = scenes(spark, d).filter(F.col("quota") > 0)
     weights = [(r["scene_key"], r["quota"]) for r in dims.select("scene_key", "quota").distinct().orderBy("scene_key").limit(10_001).collect()]
     sound = dims.select("_scene_name", F.col("scene_key").alias("category"), name_key(F.col("_top")).alias("_top_name"))
@@ -98,8 +105,9 @@ def _quota_rows(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str,
         F.col("id").alias("_id"),
         name_key(F.col("sub_scene")).alias("_scene_name"),
         name_key(F.col("top_scene")).alias("_top_name"),
+        band.alias("stratum"),
     )
-    return rows.join(broadcast_if_small(sound), ["_scene_name", "_top_name"], "left").select("_group", "_id", "category"), weights
+    return rows.join(broadcast_if_small(sound), ["_scene_name", "_top_name"], "left").select("_group", "_id", "category", "stratum"), weights
 
 
 @query(
@@ -112,16 +120,16 @@ WHERE coalesce(got, 0) < greatest(2, ((n // 5) * quota) // total)"""
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Scenes whose target cannot be met in a run: those with flow on their slack arc."""
     rows, weights = _quota_rows(spark, d)
-    plan = quota.quota_plan(rows, weights, share=5, floor=2)
-    return plan.filter(F.col("shortfall") > 0).select(F.col("_group").alias("run_id"), F.col("category").alias("scene_key"))
+    plan = quota.quota_plan(rows, weights, STRATA, share=5, floor=2)
+    return plan.filter(F.col("shortfall") > 0).select(F.col("_group").alias("run_id"), F.col("category").alias("scene_key")).distinct()
 
 
 @query()
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The drawn sample: rows of each run whose scene shares follow the quotas."""
+    """The drawn sample: rows of each run whose scene shares follow the quotas, and whose bands of confidence those of the run."""
     rows, weights = _quota_rows(spark, d)
-    plan = quota.quota_plan(rows, weights, share=5, floor=2)
-    return quota.draw(rows, plan).select(F.col("_group").alias("run_id"), F.col("_id").alias("id"), F.col("category").alias("scene_key"))
+    plan = quota.quota_plan(rows, weights, STRATA, share=5, floor=2)
+    return quota.draw(rows, plan, STRATA).select(F.col("_group").alias("run_id"), F.col("_id").alias("id"), F.col("category").alias("scene_key"))
 
 
 # 4. near-duplicate records with small edits

@@ -1,8 +1,9 @@
 """Top N items within every group by merging sorted runs with a loser tree.
 
-Every map task sorts its rows by group and rank and stores a run that holds only the first N of each group; runs are
-bucketed by group. A reduce task merges the runs of its bucket with a loser tree and, after N outputs of a group, seeks
-each run to its next group. A group of millions of items reaches the reducer as at most N rows a map task.
+Every map task sorts its rows by group and rank into runs that hold only the first N of each group; the shuffle stores the
+runs bucketed by group. A reduce task reads the runs of its bucket side by side, merges them with a loser tree and, after N
+outputs of a group, seeks each run to its next group. A group of millions of items reaches the reducer as at most N rows a
+run, and the reducer holds the runs of one group at a time.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .caps import FLUSH, changes
+from .caps import FLUSH, changes, whole_groups
+
+#: Rows at which a map task closes a run and begins the next.
+RUN = 262_144
 
 
 class LoserTree:
@@ -84,9 +88,16 @@ def sorted_run(t: pa.Table, group: Sequence[str], order: Sequence[str], n: int)
 
 
 def _run_task(group: Sequence[str], order: Sequence[str], n: int):
+    """A task that sorts its rows into runs, each the first n of every group; a run is closed at RUN rows, so a task holds
+    no more than that however many groups it meets."""
+
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows, limit = 0, FLUSH
+        rows, limit, number = 0, FLUSH, 0
+
+        def run(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from t.append_column("_run", pa.array(np.full(t.num_rows, number, dtype=np.int64))).to_batches(max_chunksize=16_384)
+
         for b in batches:
             held.append(b)
             rows += b.num_rows
@@ -94,8 +105,11 @@ def _run_task(group: Sequence[str], order: Sequence[str], n: int):
                 kept = sorted_run(pa.Table.from_batches(held), group, order, n)
                 held, rows = kept.to_batches(), kept.num_rows
                 limit = max(FLUSH, 2 * rows)
+                if rows > RUN:
+                    yield from run(kept)
+                    held, rows, limit, number = [], 0, FLUSH, number + 1
         if rows:
-            yield from sorted_run(pa.Table.from_batches(held), group, order, n).to_batches(max_chunksize=16_384)
+            yield from run(sorted_run(pa.Table.from_batches(held), group, order, n))
 
     return task
 
@@ -125,21 +139,20 @@ def _sortable(values: list) -> list[tuple]:
 
 
 def _merge_task(group: Sequence[str], order: Sequence[str], n: int, out: Sequence[str]):
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in ("_run", *group, *order)]))
-        groups = list(zip(*(_sortable(t[c].to_pylist()) for c in group)))
+    """A task over a bucket's runs in the order of group and run, as Spark's sort, which spills, hands them over. The runs
+    are read side by side, a stretch of whole groups at a time: what is held is a batch and the runs of one group."""
+
+    def merged(t: pa.Table) -> pa.Table:
+        numbers = np.cumsum(changes(t, group)).tolist()
         keys = list(zip(*(_sortable(t[c].to_pylist()) for c in order)))
         ids = t[order[-1]].to_pylist()
-        starts = [*np.flatnonzero(changes(t, ["_run"])).tolist(), t.num_rows]
-        runs = [[(groups[i], keys[i], ids[i], i) for i in range(a, b)] for a, b in zip(starts, starts[1:])]
-        chosen = pa.array([row[3] for row in merge_runs(runs, n)], pa.int64())
-        yield from t.select(list(out)).take(chosen).combine_chunks().to_batches(max_chunksize=16_384)
+        runs: dict[tuple, list[tuple]] = {}
+        for i, run in enumerate(zip(t["_task"].to_pylist(), t["_run"].to_pylist())):
+            runs.setdefault(run, []).append((numbers[i], keys[i], ids[i], i))
+        chosen = pa.array([row[3] for row in merge_runs(list(runs.values()), n)], pa.int64())
+        return t.select(list(out)).take(chosen)
 
-    return task
+    return whole_groups(group, merged)
 
 
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
@@ -154,5 +167,8 @@ def top_n(df: DataFrame, group: Sequence[str], order: Sequence[str], n: int) ->
     df = df.select(*columns).dropna(subset=[*group, order[-1]])
     if n < 1:
         return df.limit(0)
-    runs = df.mapInArrow(_run_task(group, order, n), df.schema).withColumn("_run", F.spark_partition_id())
-    return runs.repartition(*group).mapInArrow(_merge_task(group, order, n, columns), df.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    runs = df.mapInArrow(_run_task(group, order, n), f"{kinds}, _run bigint").withColumn("_task", F.spark_partition_id())
+    inside = [F.col(c).asc_nulls_last() for c in order]
+    buckets = runs.repartition(*group).sortWithinPartitions(*group, "_task", "_run", *inside)
+    return buckets.mapInArrow(_merge_task(group, order, n, columns), df.schema)

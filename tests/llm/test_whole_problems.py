@@ -33,4 +33,5 @@ def test_every_number_of_name_parts_has_its_usual_shape(spark):
 
 def test_flow_over_one_cell_a_category_decomposes():
     targets, floors, have = [5, 2, 9, 4], [2, 2, 2, 2], [7, 0, 3, 4]
-    assert quota.cell_quotas(targets, floors, list(enumerate(have))) == ([5, 0, 3, 4], [0, 2, 6, 0])
+    cells = [(c, 0, n) for c, n in enumerate(have)]
+    assert quota.cell_quotas(targets, floors, cells, [20])[:2] == ([5, 0, 3, 4], [0, 2, 6, 0])
