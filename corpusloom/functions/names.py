@@ -19,14 +19,18 @@ def fold_width_and_case(text: Column) -> Column:
     return F.lower(F.translate(visible, _WIDE, _NARROW))
 
 
+_PART = r"[\p{L}\p{N}\p{M}]"
+
+
 def name_key(name: Column, introducers: tuple[str, ...] = INTRODUCERS) -> Column:
     """A key that is equal for all spellings of one name.
 
     Only the name's letters and digits count: case, width, invisible characters, punctuation, separators, the order of
     its parts ("Last, First") and an introducing word ("by X") do not. Parts are sorted and joined by one space. Null,
-    blank and letterless names give null.
+    blank and letterless names give null. All of it is generated code without lambdas, so the parts are made once.
     """
-    parts = F.filter(F.split(fold_width_and_case(name), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
-    first_introduces = (F.size(parts) > 1) & F.element_at(parts, 1).isin(*introducers)
-    own = F.when(first_introduces, F.slice(parts, 2, 1_000_000)).otherwise(parts)
-    return F.nullif(F.array_join(F.array_sort(own), " "), F.lit(""))
+    gap = f"[^{_PART[1:]}"
+    own = F.regexp_replace(fold_width_and_case(name), rf"^{gap}*(?:{'|'.join(introducers)}){gap}+(?={_PART})", "")
+    parts = F.regexp_extract_all(own, F.lit(f"{_PART}+"), F.lit(0))
+    none_if_empty = F.left(F.array_min(parts), F.lit(0))
+    return F.concat(F.array_join(F.sort_array(parts), " "), none_if_empty)
