@@ -24,7 +24,7 @@ def rank_columns(confidence: str = "confidence", tie: str = "tie_hash", ident: s
 
 def present_name(name: str, missing: tuple[str, ...] = ("\\N",)) -> Column:
     """The key of a name; null where it is null, blank or one of the marks for a missing value."""
-    return F.when(~F.trim(F.col(name)).isin(*missing), name_key(F.col(name)))
+    return name_key(F.when(~F.trim(F.col(name)).isin(*missing), F.col(name)))
 
 
 def scenes(spark: SparkSession, directory: str) -> DataFrame:
