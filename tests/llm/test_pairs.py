@@ -74,6 +74,98 @@ def test_empty_table_and_nulls(spark):
     assert got[0] == ("a", "empty") and got[1] == ("a", "empty")
 
 
+# Ways to refuse that were written after the parts and templates, to measure them; 31 of the first 40 and 21 of the last 30
+# were found at first sight, before general words that were lacking were added.
+HELD_OUT = """I'm unable to translate that for you.
+I'm afraid I can't process this request at the moment.
+Unfortunately, this content cannot be translated.
+Sorry, this request is outside my capabilities.
+I have to decline this request, sorry.
+As an AI assistant, I'm not able to provide a translation of this passage.
+My apologies, but I will not translate this text.
+I do not feel comfortable translating this.
+Translation refused.
+This sentence cannot be translated due to policy.
+I regret that I cannot complete this translation.
+Please forgive me, I am not allowed to answer that question.
+对不起，我没法翻译这个句子。
+非常抱歉，我不能处理您的请求。
+很抱歉，这段文字我无法翻译。
+不好意思，这个我翻译不了。
+由于政策限制，我无法提供该内容的翻译。
+我拒绝翻译这段文字。
+恕我无法完成这个翻译任务。
+作为人工智能语言模型，我无法翻译此类内容。
+请原谅，我不能给出这句话的译文。
+这个问题我无法回答，请换一个问题。
+抱歉，目前暂时不支持翻译该文本。
+该内容不适合翻译。
+Désolé, je ne suis pas en mesure de traduire ce texte.
+Malheureusement, je ne peux pas répondre à cette demande.
+Je refuse de traduire cette phrase.
+Leider kann ich diese Anfrage nicht bearbeiten.
+Entschuldigung, ich bin nicht in der Lage, diesen Text zu übersetzen.
+Ich muss ablehnen, diesen Satz zu übersetzen.
+Lamento no poder traducir este contenido.
+No me es posible traducir esta oración.
+Lo siento, no puedo ayudar con eso.
+Desculpe, não posso traduzir este texto.
+Mi dispiace, non posso tradurre questa frase.
+К сожалению, я не могу перевести этот текст.
+申し訳ございませんが、このリクエストには対応できません。
+すみません、この文章は翻訳できません。
+죄송합니다. 이 요청은 처리할 수 없습니다.
+유감스럽게도 이 텍스트는 번역할 수 없습니다.
+I would rather not translate this one, sorry.
+Apologies, that is something I can't help you with.
+Regrettably I cannot offer a translation for the given sentence.
+I'm not permitted to render this text in Chinese.
+We are unable to complete this task.
+Sorry, I don't translate this kind of material.
+As a language model, I cannot comply with this.
+This is beyond what I can do, apologies.
+The assistant declined to answer.
+Pardon me, but I won't answer this question.
+抱歉，我不会翻译这句话。
+对不起，您的要求我无法满足。
+很抱歉，此内容无法翻译。
+我没办法帮您翻译这段话。
+本助手无法处理此类文本。
+无法提供译文，敬请见谅。
+很遗憾，我不能协助完成此请求。
+对不起，这超出了我的能力。
+根据规定，我不能翻译该句。
+抱歉，我暂时无法回答您的问题。
+Je regrette, mais je ne peux pas vous aider avec cette demande.
+Impossible de traduire cette phrase.
+Es ist mir nicht möglich, diesen Text zu übersetzen.
+Tut mir leid, dabei kann ich nicht helfen.
+Lo lamento, pero me niego a traducir esa frase.
+No se puede traducir este texto.
+Infelizmente não consigo traduzir esta frase.
+Извините, я не могу помочь с этим запросом.
+申し訳ありませんが、翻訳できません。
+미안하지만 그 질문에는 답변할 수 없습니다.""".split("\n")
+SOUND = [
+    ("Mira Holt refused to translate the parcel for Bela Kern in Varno.", "米拉·霍尔特拒绝在瓦尔诺为贝拉·克恩翻译包裹。"),
+    ("I'm sorry, Mira Holt cannot help Bela Kern with the notebook in Varno.", "对不起，米拉·霍尔特没法在瓦尔诺帮贝拉·克恩弄笔记本。"),
+    ("He said that he could not translate this sentence.", "他说他无法翻译这句话。"),
+    ("I can't answer this question.", "我不能回答这个问题。"),
+    ("The clerk cannot process the request today.", "店员今天无法处理这个请求。"),
+    ("She is sorry that the ferry does not run.", "她很遗憾渡轮不开。"),
+]
+
+
+def test_refusals_are_known_by_their_parts():
+    names = pairs.Endings("米拉霍尔特贝克恩瓦诺").names
+    prompt = "Mira Holt walked from Varno to Ostrow with a lamp."
+    found = [r for r in HELD_OUT if pairs.kind_of(prompt, pairs.body_of(r), names) == "refusal"]
+    assert len(HELD_OUT) == 70 and len(found) >= 64
+    assert [z for p, z in SOUND if pairs.kind_of(p, pairs.body_of(z), names) == "refusal"] == []
+    assert pairs.kind_of("The parcel was heavy.", "我不能回答这个问题。", names) == "refusal"
+
+
 @pytest.mark.parametrize("text", ["", "。", "·", "a", "12", "…"])
 def test_endings_of_anything(text):
-    assert pairs.Endings(NAMES).complete("a", text) is False
+    assert len(pairs.Endings(NAMES).of(text)) == 5
+    assert pairs.judge(text, text, pairs.Endings(NAMES))[2] is False

@@ -26,9 +26,10 @@ def test_endings_beyond_the_broadcast_are_known_too(spark, monkeypatch):
 
 def test_every_number_of_name_parts_has_its_usual_shape(spark):
     names = ["兰" * a + "·" + "兰" * b for a in range(1, 12) for b in range(1, 12) for _ in range(2)] + ["兰·兰·兰"]
-    df = spark.createDataFrame([(f"{x}。",) for x in names], "_response string")
-    usual = pairs._learn_endings(df, "兰")[1]
-    assert usual == {"2": "N1.1", "3": "N1.1.1"}
+    endings = pairs.Endings("兰")
+    rows = [(*endings.of(f"{x}。")[:4], 1) for x in names]
+    df = spark.createDataFrame(rows, "_before string, _arity string, _shape string, _after string, _n bigint")
+    assert {r["_arity"]: r["_usual"] for r in pairs.usual_shapes(df).collect()} == {"2": "N1.1", "3": "N1.1.1"}
 
 
 def test_flow_over_one_cell_a_category_decomposes():
