@@ -1,17 +1,17 @@
-"""Near-duplicate records with small edits: exact set-similarity join with vantage-point trees over fingerprints.
+"""Near-duplicate records with small edits: an exact set-similarity join.
 
 A record is its set of distinct words; two records are alike if the Jaccard similarity of their sets reaches a
 threshold t, that is, if the Hamming distance of their indicator vectors is at most (1-t)/(1+t) times the sum of their
-sizes. Distances to vantage points prune in two stages.
+sizes.
 
-1. Coordinate vantage points. One word w splits all records by their distance to {w} in that coordinate alone; distances
-   in different coordinates add up to the Hamming distance. Walking the words from rare to frequent, a record need only
-   enter the shards of its first ``size - ceil(t*size) + 1`` words: a pair that shares none of them has already
-   collected more distance than the radius allows (triangle bound), so a record is sent to the shards that its ball
-   overlaps and to no other.
-2. In a shard, records are compared through 256-bit parity fingerprints of their sets, whose Hamming distance never
-   exceeds that of the sets. A vantage-point tree splits them at the median distance to a vantage point; the two halves
-   are joined only where their boundary bands overlap. Fingerprint candidates are verified on the exact sets.
+1. Candidates come from a prefix filter. With the words ordered from rare to frequent, a set enters the shards of its first
+   ``size - ceil(t*size) + 1`` words; two sets that share none of these cannot be alike. This replaces a vantage-point tree
+   over all records: in that tree, with its fingerprints, records of one sentence pattern lie at nearly equal distances from
+   every vantage point, so the triangle bound prunes next to nothing (README, problem 4, has the measured figures).
+2. Within a shard records are compared through 256-bit parity fingerprints of their sets, whose Hamming distance never
+   exceeds that of the sets. A vantage-point tree splits shards of more than LEAF members at the median distance to a vantage
+   point; the two halves are joined only where their boundary bands overlap. Smaller shards are compared directly. Fingerprint
+   candidates are verified on the exact sets.
 
 Both bounds are exact, so no pair is lost. Identical sets are collapsed first and expanded at the end.
 """
@@ -265,10 +265,14 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, class_id, links): each record's class, the connected component of its set, and its number of similar sets.
 
     ``class_id`` is the least identifier in the class. Components come from rounds of large-star and small-star
-    contraction over set keys; each round is kept in the checkpoint folder, and the number of rounds is logarithmic.
+    contraction over word sets; each round is kept in the checkpoint folder, and the number of rounds is logarithmic. The
+    class is known for each set before records are looked up, so no row is joined by its component.
     """
-    edges = cut_lineage(links.distinct())
-    both = edges.union(edges.select("_b", "_a")).toDF("u", "v")
+    # a set's node is its least identifier with its key, so that the least node of a component names the class
+    nodes = members.groupBy("_set").agg(F.min(F.struct("_id", "_set")).alias("node"))
+    ends = [nodes.select(F.col("_set").alias(c), F.col("node").alias(n)) for c, n in (("_a", "u"), ("_b", "v"))]
+    edges = cut_lineage(links.distinct().join(ends[0], "_a").join(ends[1], "_b").select("u", "v"))
+    both = edges.union(edges.select("v", "u")).toDF("u", "v")
     degree = both.groupBy("u").agg(F.count("*").alias("links"))
     before = None
     while True:
@@ -283,8 +287,6 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
             break
         before = now
         both = star.union(star.select("v", "u")).toDF("u", "v")
-    root = members.join(star.select(F.col("u").alias("_set"), F.col("v").alias("_root")), "_set", "left")
-    root = root.select("_id", "_set", F.coalesce("_root", "_set").alias("_root"))
-    names = root.groupBy("_root").agg(F.min("_id").alias("class_id"))
-    degree = degree.withColumnRenamed("u", "_set")
-    return root.join(names, "_root").join(degree, "_set", "left").select(F.col("_id").alias("id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    about = nodes.join(star, nodes["node"] == star["u"], "left").select("_set", "node", F.coalesce("v", "node")["_id"].alias("class_id"))
+    about = about.join(degree.withColumnRenamed("u", "node"), "node", "left").select("_set", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(about, "_set").select(F.col("_id").alias("id"), "class_id", "links")
