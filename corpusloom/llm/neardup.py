@@ -268,10 +268,12 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
     contraction over word sets; each round is kept in the checkpoint folder, and the number of rounds is logarithmic. The
     class is known for each set before records are looked up, so no row is joined by its component.
     """
-    # a set's node is its least identifier with its key, so that the least node of a component names the class
-    nodes = members.groupBy("_set").agg(F.min(F.struct("_id", "_set")).alias("node"))
+    # the node of a linked set is its least identifier with its key, so that the least node of a component names the class
+    links = cut_lineage(links.distinct())
+    linked = links.select(F.explode(F.array("_a", "_b")).alias("_set")).distinct()
+    nodes = cut_lineage(members.join(linked, "_set", "left_semi").groupBy("_set").agg(F.min(F.struct("_id", "_set")).alias("node")))
     ends = [nodes.select(F.col("_set").alias(c), F.col("node").alias(n)) for c, n in (("_a", "u"), ("_b", "v"))]
-    edges = cut_lineage(links.distinct().join(ends[0], "_a").join(ends[1], "_b").select("u", "v"))
+    edges = cut_lineage(links.join(ends[0], "_a").join(ends[1], "_b").select("u", "v"))
     both = edges.union(edges.select("v", "u")).toDF("u", "v")
     degree = both.groupBy("u").agg(F.count("*").alias("links"))
     before = None
@@ -287,6 +289,8 @@ def classes(links: DataFrame, members: DataFrame) -> DataFrame:
             break
         before = now
         both = star.union(star.select("v", "u")).toDF("u", "v")
-    about = nodes.join(star, nodes["node"] == star["u"], "left").select("_set", "node", F.coalesce("v", "node")["_id"].alias("class_id"))
-    about = about.join(degree.withColumnRenamed("u", "node"), "node", "left").select("_set", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return members.join(about, "_set").select(F.col("_id").alias("id"), "class_id", "links")
+    about = nodes.join(star, nodes["node"] == star["u"], "left").select("_set", "node", F.coalesce("v", "node")["_id"].alias("_class"))
+    about = about.join(degree.withColumnRenamed("u", "node"), "node", "left").select("_set", "_class", "links")
+    alone = members.groupBy("_set").agg(F.min("_id").alias("_first"))
+    every = members.join(alone, "_set").join(about, "_set", "left")
+    return every.select(F.col("_id").alias("id"), F.coalesce("_class", "_first").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

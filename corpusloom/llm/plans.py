@@ -146,7 +146,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_classes(spark: SparkSession, d: str) -> DataFrame:
     """Each sentence with the class of near-duplicates it belongs to and its number of similar word sets."""
     links, members = neardup.near_duplicates(table(spark, d, "sentences"), t=0.7)
-    return neardup.classes(neardup.cut_lineage(links), members)
+    return neardup.classes(links, members)
 
 
 # 5. broken prompt and response pairs
