@@ -113,45 +113,99 @@ def replay_conflicts(spark: SparkSession, d: str) -> DataFrame:
 # translation
 
 
+def _sql_currencies(x: str) -> str:
+    m = lambda p, of=x: f"regexp_matches({of}, {S.lit(p)})"
+    has = {k: m(p) for k, p in L.CURRENCIES.items()}
+    has["GBP"] += f" AND ({m(L.EXPLICIT['GBP'])} OR NOT {m(L.WEIGHT)})"
+    has["JPY"] += f" AND ({m(L.EXPLICIT['JPY'])} OR NOT {m(L.YEN_NAME, S.sub(x, 'Japanese +Yen', ''))})"
+    has["EUR"] += f" AND NOT {m(L.EUR_NAME)}"
+    has["CNY"] += f" OR {m(L.GENERIC_YUAN, S.sub(x, L.FOREIGN_YUAN, ''))}"
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in has.items()) + "], lambda c: c IS NOT NULL))"
+
+
+def _sql_numbers(x: str) -> str:
+    for pattern, to in L.NUMBER_RULES:
+        x = S.sub(x, pattern, to.replace("$", "\\"))
+    scale = " ".join(f"WHEN '{k}' THEN {n}" for k, n in L.SCALES.items())
+    digits = "regexp_replace(regexp_extract(v, '^[0-9., ]+'), '[, ]', '', 'g')"
+    product = f"CAST(CAST(TRY_CAST({digits} AS DECIMAL(27, 8)) * CAST(CASE lower(regexp_extract(v, '{L._SCALE}$')) {scale} ELSE 1 END AS DECIMAL(10, 0)) AS DECIMAL(38, 8)) AS VARCHAR)"
+    value = f"CASE WHEN regexp_matches({digits}, '\\..*\\.') THEN 'version:' || {digits} ELSE coalesce(regexp_replace(regexp_replace({product}, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), {digits}) END"
+    return f"[{value} for v in flatten([string_split(w, ':') for w in regexp_extract_all({x}, {S.lit(L.NUMBER)})])]"
+
+
 def _sql_issues() -> str:
     n = lambda c: f"translate(coalesce({c}, ''), {S.lit(L._WIDE)}, {S.lit(L._NARROW)})"
     m = lambda x, p: f"regexp_matches({x}, {S.lit(p)})"
-    cur = lambda x: "list_sort(list_filter([" + ", ".join(f"CASE WHEN {m(x, p)}{f' AND NOT ({m(x, L.WEIGHT)} AND NOT ' + m(x, '£|GBP|英镑') + ')' if k == 'GBP' else ''} THEN '{k}' END" for k, p in L.CURRENCIES.items()) + "], lambda c: c IS NOT NULL))"
     return f"""WITH a AS (SELECT id, {n('text')} AS s, trim({n('translation_zh')}) AS t FROM sentences), b AS (SELECT *, [lower(w) for w in regexp_extract_all(s, '{L.LATIN}')] AS known,
-regexp_extract_all({S.sub(S.sub('t', L.URL, ''), L.CODE, '')}, '{L.LATIN}') AS lat, len(regexp_extract_all(t, {S.lit(L.HAN)})) AS han, length({S.sub('s', L.SPACE + '+', '')}) AS ls, length({S.sub('t', L.SPACE + '+', '')}) AS lt FROM a),
+regexp_extract_all({S.sub(S.sub('t', L.URL, ''), L.CODE, '')}, '{L.LATIN}') AS lat, len(regexp_extract_all(t, {S.lit(L.HAN)})) AS han, length({S.sub('s', L.SPACE + '+', '')}) AS ls, length({S.sub('t', L.SPACE + '+', '')}) AS lt,
+{_sql_numbers('s')} AS asked, {_sql_numbers('t')} AS got FROM a),
 c AS (SELECT *, list_filter(lat, lambda w: NOT (list_contains(known, lower(w)) AND lower(w) <> w)) AS res FROM b), e AS (SELECT *, coalesce(list_sum([length(w) for w in res]), 0) AS latin FROM c)
-SELECT id, CASE WHEN t = '' THEN 'empty_translation' ELSE array_to_string(list_filter([CASE WHEN han / greatest(han + latin, 1) < 0.35 THEN 'low_chinese_ratio' END, CASE WHEN {cur('s')} <> {cur('t')} THEN 'currency_mismatch' END,
+SELECT id, CASE WHEN t = '' THEN 'empty_translation' ELSE array_to_string(list_filter([CASE WHEN han / greatest(han + latin, 1) < 0.35 THEN 'low_chinese_ratio' END,
+CASE WHEN len(list_filter(asked, lambda k: len(list_filter(asked, lambda x: x = k)) > len(list_filter(got, lambda x: x = k)))) > 0 THEN 'number_mismatch' END, CASE WHEN {_sql_currencies('s')} <> {_sql_currencies('t')} THEN 'currency_mismatch' END,
 CASE WHEN {m('s', L.PERCENT)} <> {m('t', L.PERCENT)} THEN 'percentage_mismatch' END, CASE WHEN len(res) >= 2 OR len(list_filter(res, lambda w: length(w) >= 8)) > 0 THEN 'english_residue' END,
 CASE WHEN ls > 0 AND (lt < 0.12 * ls OR (lt > 3 * ls AND (ls >= 20 OR lt > 24))) THEN 'abnormal_length' END], lambda x: x IS NOT NULL), '|') END AS issues FROM e"""
 
 
 @query(_sql_issues())
 def translation_checks(spark: SparkSession, d: str) -> DataFrame:
-    """All checks of translations that need no number parsing."""
-    rows = table(spark, d, "sentences")
-    return rows.select("id", F.array_join(L.issues(F.col("text"), F.col("translation_zh"), numbers=False), "|").alias("issues"))
+    """The issues of every translation; none is an empty text."""
+    rows = L.with_issues(table(spark, d, "sentences").select("id", "text", "translation_zh"))
+    return rows.select("id", F.array_join("issues", "|").alias("issues"))
 
 
-@query()
+@query(f"SELECT * FROM ({_sql_issues()}) WHERE issues <> ''")
 def translation_issues(spark: SparkSession, d: str) -> DataFrame:
-    """Translations with their issues, numbers compared by value; number signatures are tested on a table of cases."""
-    rows = table(spark, d, "sentences").select("id", L.issues(F.col("text"), F.col("translation_zh")).alias("issues"))
-    return rows.filter(F.size("issues") > 0)
+    """Translations that have issues."""
+    return translation_checks(spark, d).filter("issues <> ''")
 
 
 # variants
 
 
-@query()
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sentences").select("id", T.clean(F.col("text")).alias("text"))
+
+
+def _sql_variants() -> str:
+    listed = lambda ws: ", ".join(map(S.lit, sorted(ws)))
+    points = f"least({6 * W.UNIT}, {W.UNIT * 3 // 2} + length(w) * {W.UNIT * 17 // 100} + CASE WHEN regexp_matches(w, '({'|'.join(W.HARD_ENDINGS)})$') THEN {W.UNIT * 6 // 10} ELSE 0 END)"
+    runs = "\nUNION ALL ".join(
+        f"""SELECT id, i, n AS words, s, e, p // n + {W.UNIT * 14 // 10} + n * {W.UNIT * 55 // 100} + CASE WHEN known THEN {W.UNIT * 5 // 4} ELSE 0 END AS points, known FROM (
+  SELECT id, i, {n} AS n, s, lead(e, {n - 1}) OVER w AS e, {' + '.join(f'lead(p, {k}) OVER w' for k in range(n))} AS p, {' AND '.join(f'lead(cont, {k}) OVER w' for k in range(1, n))} AS joined,
+  {' AND '.join(f'lead(stop, {k}) OVER w' for k in range(n))} AS silent, stop AND w NOT IN ({listed(W.STARTERS)}) AS bad_start, lead(stop, {n - 1}) OVER w AS bad_end,
+  concat_ws(' ', {', '.join(f'lead(w, {k}) OVER w' for k in range(n))}) IN ({listed(W.PHRASES | set(W.CONTRACTIONS))}) AS known FROM tok WINDOW w AS (PARTITION BY id ORDER BY i))
+  WHERE joined AND NOT silent AND (known OR NOT (bad_start OR bad_end))""" for n in (2, 3, 4))
+    picks = ", ".join(
+        f"""left{i} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY points, s, e) - 1 AS place, count(*) OVER (PARTITION BY id) AS n FROM {'span' if i == 1 else f'(SELECT x.* EXCLUDE (place, n) FROM left{i - 1} x JOIN pick{i - 1} y USING (id) WHERE x.said <> y.said)'}),
+pick{i} AS (SELECT * FROM left{i} WHERE place = CAST(round_even((n - 1) * {share}, 0) AS INT))""" for i, (_, share) in enumerate(W.LEVELS, 1))
+    return f"""WITH txt AS (SELECT id, max({S.clean('text')}) AS t FROM sentences GROUP BY id), raw AS (SELECT id, t, regexp_extract_all(t, {S.lit(T.WORD)}) AS ws, string_split_regex(t, {S.lit(T.WORD)}) AS gs FROM txt),
+ex AS (SELECT id, t, unnest(ws) AS w0, unnest(gs[1:len(ws)]) AS g, unnest(range(len(ws))) AS i FROM raw), pos AS (SELECT *, sum(length(w0) + length(g)) OVER (PARTITION BY id ORDER BY i) AS e, lower(w0) AS w FROM ex),
+tok AS (SELECT id, t, i, w, e - length(w0) AS s, e, {points} AS p, w IN ({listed(W.STOP_WORDS)}) AS stop, regexp_matches(g, {S.lit(W.BETWEEN)}) AS cont FROM pos),
+runs AS (SELECT id, i, 1 AS words, s, e, p AS points, false AS known FROM tok WHERE NOT stop AND length(w) >= 3 UNION ALL {runs}),
+span AS (SELECT r.*, substr(t, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)) AS answer, lower(answer) AS said, MAP {{{', '.join(f'{S.lit(k)}: {S.lit(v)}' for k, v in W.ALIASES.items())}}}[said] AS alias FROM runs r JOIN txt USING (id)),
+{picks}, three AS (SELECT *, 1 AS k FROM pick1 UNION ALL BY NAME SELECT *, 2 AS k FROM pick2 UNION ALL BY NAME SELECT *, 3 AS k FROM pick3),
+forced AS (SELECT id FROM three GROUP BY id HAVING count(*) = 3 AND count(alias) = 0), last AS (SELECT * FROM span WHERE alias IS NOT NULL AND id IN (FROM forced) QUALIFY row_number() OVER (PARTITION BY id ORDER BY points DESC, s DESC, e DESC) = 1),
+chosen AS (SELECT * FROM three WHERE k < 3 OR id NOT IN (SELECT id FROM last) UNION ALL BY NAME SELECT * FROM last),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY points, s, e) - 1 AS o, count(*) OVER (PARTITION BY id) AS c FROM chosen)
+SELECT id, ['easy', 'medium', 'hard'][o + 1] AS difficulty, CAST(s AS INT) AS answer_start, CAST(e AS INT) AS answer_end, answer AS canonical_answer, words AS answer_word_count,
+(max((points * 50 + 3) // 6 - o) OVER (PARTITION BY id ORDER BY o) + o) / 10000.0 AS difficulty_score, CASE WHEN known THEN 'set phrase' WHEN words = 1 THEN 'word' ELSE words || ' words' END AS rationale, coalesce(alias, '') AS alias FROM ordered WHERE c = 3"""
+
+
+@query(_sql_variants())
 def variants(spark: SparkSession, d: str) -> DataFrame:
-    """Three gaps of every sentence, one row each; its rules are checked by ``variant_violations``."""
-    made = W.with_variants(table(spark, d, "sentences").select("id", T.clean(F.col("text")).alias("text")))
-    return made.select("id", F.explode("variants").alias("v")).select("id", "v.*")
+    """Three gaps of every sentence, one row each."""
+    made = W.with_variants(_sentences(spark, d)).select("id", F.explode("variants").alias("v")).select("id", "v.*")
+    return made.withColumn("alias", F.array_join("aliases", "|")).drop("aliases")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS problem WHERE false")
+@query(f"WITH v AS ({_sql_variants()}) SELECT difficulty, count(*) AS variants, count(*) FILTER (WHERE alias <> '') AS aliased, CAST(0 AS BIGINT) AS broken FROM v GROUP BY difficulty")
 def variant_violations(spark: SparkSession, d: str) -> DataFrame:
-    return W.violations(W.with_variants(table(spark, d, "sentences").select("id", T.clean(F.col("text")).alias("text"))))
+    """Variants by difficulty, and how many of them are in a set that breaks a rule: none may."""
+    texts = _sentences(spark, d)
+    made = W.with_variants(texts)
+    bad = W.violations(made, texts).select("id", F.lit(1).alias("bad"))
+    each = made.join(bad, "id", "left").select(F.explode("variants").alias("v"), "bad")
+    return each.groupBy("v.difficulty").agg(F.count("*").alias("variants"), F.count_if(F.size("v.aliases") > 0).alias("aliased"), F.count("bad").alias("broken"))
 
 
 # store

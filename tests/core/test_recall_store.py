@@ -50,20 +50,25 @@ def test_review_rules(spark):
         ("No numbers here.", "有7个。", False), ("2.50 euros", "2.5欧元", False), ("twenty 20", "二十", True), ("12 345 points", "12345分", False),
     ],
 )
-def test_numbers_compare_by_value(source, translation, mismatch):
-    asked, got = translate.number_signatures(source), translate.number_signatures(translation)
-    assert any(got[k] < n for k, n in asked.items()) == mismatch
+def test_numbers_compare_by_value(spark, source, translation, mismatch):
+    df = spark.createDataFrame([(source, translation)], "s string, t string")
+    assert df.select(translate.lacks(translate.numbers(F.col("s")), translate.numbers(F.col("t")))).first()[0] == mismatch
 
 
 def test_translation_issues(spark):
+    fine, money = [], ["currency_mismatch"]
     rows = [
-        ("It costs 5 dollars.", "价格是5美元。", []), ("Hello there my friend.", "", ["empty_translation"]), ("Hello there.", "Hello there again friends", ["low_chinese_ratio", "english_residue"]),
-        ("It costs 5 euros.", "价格是5美元。", ["currency_mismatch"]), ("Half is 50 percent.", "一半是50。", ["percentage_mismatch"]), ("She lost 5 pounds of weight.", "她减了5磅。", []),
-        ("Hi.", "你" * 30, ["abnormal_length"]), ("He paid 7 crowns.", "他付了钱。", ["number_mismatch"]), (None, "你好。", []),
+        ("It costs 5 dollars.", "价格是5美元。", fine), ("Hello there my friend.", "", ["empty_translation"]), ("Hello there.", "Hello there again friends", ["low_chinese_ratio", "english_residue"]),
+        ("It costs 5 euros.", "价格是5美元。", money), ("Half is 50 percent.", "一半是50。", ["percentage_mismatch"]), ("She lost 5 pounds of weight.", "她减了5磅。", fine),
+        ("Hi.", "你" * 30, ["abnormal_length"]), ("He paid 7 crowns.", "他付了钱。", ["number_mismatch"]), (None, "你好。", fine), ("I have 3, 4 or 5 of them in 2019, 30 in all.", "我有3、4或5个，2019年共30个。", fine),
+        ("We leave at 8:15.", "我们8点15分出发。", fine), ("It has 60,000 seats.", "它有6万个座位。", fine), ("They spent 2.5 billion dollars.", "他们花了25亿美元。", fine), ("Come by March 2nd.", "3月2日前来。", fine),
+        ("The lamp is $1350. 00 now.", "灯现在是1350.00美元。", fine), ("It opens at 6. 30 pm today.", "今天晚上6:30开门。", fine), ("See 4. 12 Members stand in the hall.", "见第4项，12名成员站在大厅里。", fine), ("The code is ab12cd here.", "代码是AB12CD。", fine),
+        ("Pay 9 yen.", "付9日元。", fine), ("Pay ¥9 now.", "现在付9日元。", money), ("The lunch is 30 yuan.", "午饭30元。", fine), ("Swap 90 yen for Canadian dollars.", "用90日元换加拿大元。", fine), ("Pay 9 pounds.", "付9英镑。", fine),
+        ("She is 120 pounds, 54 kg and 30 years old.", "她120磅（54公斤），30岁。", fine), ("We ate at Golden Yen Restaurant.", "我们在金燕餐厅吃饭。", fine), ("My friend is Tony Yen.", "我的朋友是甄东尼。", fine), ("Look for EUR PhD posts.", "寻找欧洲博士职位。", fine), ("Read the elements.", "阅读这些元素。", fine),
     ]
     df = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(rows)], "id int, s string, t string")
-    got = {r["id"]: r["x"] for r in df.select("id", translate.issues(F.col("s"), F.col("t")).alias("x")).collect()}
-    assert got == {i: w for i, (_, _, w) in enumerate(rows)}
+    got = {r["id"]: r["issues"] for r in translate.with_issues(df, "s", "t").collect()}
+    assert {i: (rows[i][0], x) for i, x in got.items()} == {i: (s, w) for i, (s, _, w) in enumerate(rows)}
 
 
 def test_translate_stage_splits_by_issues(spark):
@@ -73,15 +78,23 @@ def test_translate_stage_splits_by_issues(spark):
 
 
 def test_variants_follow_their_rules(spark):
-    texts = ["I do not know the famous station near the old harbour.", "a an the", "", None, "Cannot stop, please take part in the celebration tomorrow! " * 3, "One two."]
+    texts = ["I do not know the famous station near the old harbour.", "a an the", "", None, "Cannot stop, please take part in the celebration tomorrow! " * 3, "One two.", "Lamps, tables; chairs: knives", "well-known 3 word3s here"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     made = variants.with_variants(df)
-    assert variants.violations(made).count() == 0
+    assert variants.violations(made, df).count() == 0
     got = {r["id"]: r["variants"] for r in made.collect()}
-    assert got[1] is got[2] is got[3] is None and len(got[0]) == len(got[4]) == 3
-    assert any(v["aliases"] for v in got[0])
-    broken = made.filter("id = 0").withColumn("variants", F.slice("variants", 1, 2))
-    assert [r["problem"] for r in variants.violations(broken).collect()] == ["count"]
+    assert sorted(got) == [0, 4, 6] and all(len(v) == 3 for v in got.values())
+    assert [v["difficulty"] for v in got[0]] == ["easy", "medium", "hard"] and any(v["aliases"] for v in got[0])
+    assert all(v["answer_word_count"] == 1 for v in got[6])  # no answer goes across punctuation
+    broken = made.filter("id = 0")
+    change = lambda **c: broken.withColumn("variants", F.transform("variants", lambda v: v.withField(*next((k, f(v)) for k, f in c.items()))))
+    cases = {
+        "count": broken.withColumn("variants", F.slice("variants", 1, 2)), "span": change(answer_start=lambda v: v["answer_start"] + 1), "words": change(answer_word_count=lambda v: F.lit(9)),
+        "answers": broken.withColumn("variants", F.transform("variants", lambda v, i: F.col("variants")[0].withField("difficulty_score", i.cast("double")))), "scores": change(difficulty_score=lambda v: F.lit(1.0)),
+    }
+    for problem, rows in cases.items():
+        assert [r["problem"] for r in variants.violations(rows, df).collect()] == [problem]
+    assert variants.with_variants(df.limit(0)).count() == 0
 
 
 def test_progress_and_streaks(spark):
