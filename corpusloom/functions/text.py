@@ -9,6 +9,7 @@ from .names import _NARROW, _WIDE
 
 #: Unicode white space, as one class that Java and RE2 read alike.
 SPACE = r"[\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: Invisible characters, tags, and quotes and dashes with their plain forms.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{FEFF}]"
 TAG = r"<[^>]+>"
 QUOTES_FROM, QUOTES_TO = "‘’‚‛“”„‟–—", "''''\"\"\"\"--"

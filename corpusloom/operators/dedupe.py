@@ -7,11 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.tables import cut_lineage
+from corpusloom.tables import broadcast_if_small, cut_lineage
 
 THRESHOLD = 0.76
 HASHES: dict[str, Callable[[bytes], bytes]] = {
@@ -50,18 +50,31 @@ def fingerprints(items: DataFrame, *, text: str = "text", hash_name: str = "blak
     return marked.withColumn("words", F.array_distinct("words"))
 
 
+def rare_first(texts: DataFrame, keep: Column) -> DataFrame:
+    """(id, word): of each text the ``keep`` words that are rarest in all texts; ``keep`` may use ``n``, the number of its
+    words. Words of at least 1/65,536 of all occurrences are counted, at most that many; the others are rarer than these."""
+    each = texts.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
+    total = texts.agg(F.sum(F.size("words"))).first()[0] or 0
+    frequent = each.groupBy("word").agg(F.count("*").alias("seen")).filter(F.col("seen") > max(1, total // 65_536))
+    known = each.join(broadcast_if_small(frequent), "word", "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("seen", F.lit(0)), "word"))
+    return known.withColumn("_place", place).filter(F.col("_place") <= keep).select("id", "word")
+
+
 def near_edges(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id_l, id_r), id_l < id_r: texts that share a band and are similar enough. ``texts`` has distinct texts only.
 
-    Each of the four bands is an equality key, so candidates come from a hash join; only identifiers and words travel.
-    Texts without content words are similar to nothing and stay out, or they would meet in one bucket.
+    Candidates share one of their rarest ``n - ceil(threshold * n) + 1`` words, as similar sets must, so their number
+    follows the rarity of words and not, as with bands alone, the square of the number of texts over 65,536; of the
+    candidates those with a common band are then compared by all words. Texts without content words are similar to nothing.
     """
-    each = texts.filter(F.size("words") > 0).select("id", "words", "bands", F.posexplode("bands").alias("band", "value"))
-    left, right = (each.select("band", "value", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "words", "bands")]) for side in "lr")
-    pairs = left.join(right, ["band", "value"]).filter(F.col("id_l") < F.col("id_r"))
-    # only the first band that a pair shares answers for it, so no distinct over all pairs is needed
-    shared = F.array_position(F.zip_with("bands_l", "bands_r", lambda x, y: x == y), True) - 1
-    return pairs.filter((shared == F.col("band")) & (T.jaccard(F.col("words_l"), F.col("words_r")) >= threshold)).select("id_l", "id_r")
+    some = texts.filter(F.size("words") > 0)
+    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    each = rare_first(some, keep).join(some.select("id", "words", "bands"), "id")
+    left, right = (each.select("word", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "words", "bands")]) for side in "lr")
+    pairs = left.join(right, "word").filter(F.col("id_l") < F.col("id_r"))
+    shared = F.exists(F.zip_with("bands_l", "bands_r", lambda x, y: x == y), lambda same: same)
+    return pairs.filter(shared & (T.jaccard(F.col("words_l"), F.col("words_r")) >= threshold)).select("id_l", "id_r").distinct()
 
 
 def dedupe(items: DataFrame, *, text: str = "text", threshold: float = THRESHOLD, hash_name: str = "blake2b") -> DataFrame:

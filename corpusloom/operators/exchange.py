@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.tables import broadcast_if_small
+from corpusloom.tables import broadcast_if_small, with_places
 
 MAX_LINE = 1 << 20
 
@@ -35,11 +35,15 @@ def canonical_json(**fields: Column) -> Column:
 
 def chunks(rows: DataFrame, family: str, order: str, payload: str, *, most_rows: int = 500, most_bytes: int = 16 << 20) -> DataFrame:
     """Rows with the number of their file within the family: a file holds at most ``most_rows`` rows and starts anew
-    where the bytes so far fill another ``most_bytes``."""
-    w = Window.partitionBy(family).orderBy(order)
-    n, size = F.row_number().over(w) - 1, F.sum(F.octet_length(payload) + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    parts = rows.withColumns({"_r": F.floor(n / most_rows), "_b": F.floor((size - 1) / most_bytes)})
-    return parts.withColumn("chunk", (F.dense_rank().over(Window.partitionBy(family).orderBy("_r", "_b")) - 1).cast("int")).drop("_r", "_b")
+    where the bytes so far fill another ``most_bytes``. Places and bytes so far come from ranges, so no family is sorted in
+    one task; ``order`` is unique within a family."""
+    size = F.octet_length(payload) + 1
+    placed = with_places(rows, [family], [F.col(order)], running=size)
+    parts = placed.withColumns({"_r": F.floor(F.col("_place") / most_rows), "_b": F.floor((F.col("_before") + size - 1) / most_bytes)})
+    files = parts.select(F.col(family).alias("_family"), "_r", "_b").distinct()
+    files = files.withColumn("chunk", (F.row_number().over(Window.partitionBy("_family").orderBy("_r", "_b")) - 1).cast("int")).withColumnsRenamed({"_r": "_r2", "_b": "_b2"})
+    on = F.col(family).eqNullSafe(F.col("_family")) & (F.col("_r") == F.col("_r2")) & (F.col("_b") == F.col("_b2"))
+    return parts.join(broadcast_if_small(files), on).drop("_family", "_r", "_b", "_r2", "_b2", "_place", "_before")
 
 
 def payload_problems(rows: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ SENSITIVE = (
     "air strike|racial slur|explicit sex|graphic violence|fuck(?:ed|ing|er|s)?|motherfucker|shit(?:ty)?|cunt|kill(?:ed|ing)? +(?:my|your|him|her|them)self"
 )
 SENSITIVE_PATTERN = rf"(?i)(?:^|[^A-Za-z0-9_])(?:{SENSITIVE})(?:$|[^A-Za-z0-9_])"
+#: Lines that are no sentences, titles that end in a point, and where a second sentence begins.
 SUBTITLE = r"^\d{1,2}:\d{2}:\d{2}(?:[,.]\d{3})?\s*-->\s*\d{1,2}:\d{2}:\d{2}(?:[,.]\d{3})?$"
 STAGE_DIRECTION = r"^(?:\[[^\]]+\]|\([^\)]+\))$"
 SPEAKER = r"^(?i:SPEAKER|SPK|PERSON)\s*\d*:"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.tables import with_places
+
 
 def merge_suggestions(suggestions: DataFrame, *, most: int | None = None) -> DataFrame:
     """(item_id, family, scenes, n): an item's suggestions by falling similarity, then scene; the first is its family.
@@ -20,8 +22,8 @@ def batches(requests: DataFrame, size: int) -> DataFrame:
     """Requests with the number of their batch within their family, ``size`` rows each in order of the item."""
     if not 1 <= size <= 1000:
         raise ValueError("a batch holds 1 to 1000 requests")
-    place = F.row_number().over(Window.partitionBy("family").orderBy("item_id"))
-    return requests.withColumn("batch", F.floor((place - 1) / size).cast("int"))
+    placed = with_places(requests, ["family"], [F.col("item_id")])
+    return placed.withColumn("batch", F.floor(F.col("_place") / size).cast("int")).drop("_place")
 
 
 def coverage(requests: DataFrame, results: DataFrame) -> DataFrame:

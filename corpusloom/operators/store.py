@@ -32,10 +32,21 @@ def circular_sample(sentences: DataFrame, *, seed: int, limit: int, scenes: list
 
 
 def ordered_lookup(sentences: DataFrame, ids: list[str]) -> DataFrame:
-    """Sentences in the order of the ids asked for: repeated ids repeat, unknown ones are left out."""
-    spark = sentences.sparkSession
-    asked = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "position int, id string")
-    return sentences.join(F.broadcast(asked), "id").orderBy("position")
+    """Sentences in the order of the ids asked for: repeated ids repeat, unknown ones are left out.
+
+    The ids are a filter that reaches the scan, so a table sorted or bucketed by id is read in part; only the rows found
+    are sorted. At most 10,000 ids, as they stand in the plan.
+    """
+    if len(ids) > 10_000:
+        raise ValueError("ordered_lookup is for at most 10,000 ids; join larger sets")
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(ids):
+        places.setdefault(x, []).append(i)
+    found = sentences.filter(F.col("id").isin(list(places)))
+    if not places:
+        return found.withColumn("position", F.lit(0))
+    at = F.create_map(*[c for x, ps in places.items() for c in (F.lit(x), F.array(*map(F.lit, ps)))])
+    return found.withColumn("position", F.explode(F.element_at(at, F.col("id")))).coalesce(1).sortWithinPartitions("position")
 
 
 def distribution(facts: DataFrame, key: str, dimension: DataFrame, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from .registry import query
 
 @query(
     f"""SELECT doc_id, CAST(i - 1 AS INT) AS turn, split_part(t[i], chr(2), 1) AS speaker, {S.collapse("split_part(t[i], chr(2), -1)")} AS utterance FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (
-SELECT doc_id, list_filter(string_split({S.sub('text', '(^|[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r])(Doctor|Patient|Nurse|Guest_[a-z]+|Guest_[a-z]+_[0-9])[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]*:[ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]*', chr(1) + chr(92) + '2' + chr(2))}, chr(1)), lambda x: contains(x, chr(2))) AS t FROM documents WHERE doc_kind = 'clinic')) WHERE utterance <> ''"""
+SELECT doc_id, list_filter(string_split({S.sub('text', R.SPEAKERS, chr(1) + chr(92) + '2' + chr(2))}, chr(1)), lambda x: contains(x, chr(2))) AS t FROM documents WHERE doc_kind = 'clinic')) WHERE utterance <> ''"""
 )
 def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
     """Turns of the clinic talks."""

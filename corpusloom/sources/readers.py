@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,71 +59,53 @@ def load_configs(content: str) -> list[SourceConfig]:
     return configs
 
 
-class _Element(HTMLParser):
-    """The texts of all elements of a name, nested ones with their parent."""
+class _Events(HTMLParser):
+    """A page as a flat list of events: (1, tag) opens, (-1, tag) closes, (0, text) stands between."""
 
-    def __init__(self, name: str):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.name, self.depth, self.data, self.texts = name, 0, [], []
+        self.list: list[tuple[int, str]] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag == self.name:
-            self.depth += 1
-
-    def handle_data(self, data):
-        if self.depth:
-            self.data.append(data)
+        self.list.append((1, tag))
 
     def handle_endtag(self, tag):
-        if tag == self.name and self.depth:
-            self.depth -= 1
-            if not self.depth:
-                self.texts.append(" ".join(" ".join(self.data).split()))
-                self.data = []
-
+        self.list.append((-1, tag))
 
-def element_texts(html: str, name: str) -> list[str]:
-    parser = _Element(name)
-    parser.feed(html)
-    parser.close()
-    return [t for t in parser.texts if t]
+    def handle_data(self, data):
+        self.list.append((0, data))
 
 
-_BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 tr td th section article header footer hr".split())
-_HIDDEN = frozenset("code pre blockquote script style ul ol li a".split())
+def _depths(events: list[tuple[int, str]], tags: Container[str]) -> list[int]:
+    """How many elements of these names are open after each event; an end without a beginning counts for nothing."""
+    steps = (way if value in tags else 0 for way, value in events)
+    return list(accumulate(steps, lambda depth, step: max(0, depth + step)))
 
 
-class _Visible(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hidden, self.out = 0, []
+def _squeezed(parts: Iterable[str], gap: str) -> str:
+    return " ".join(gap.join(parts).split())
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden += tag in _HIDDEN
-        if tag in _BLOCKS:
-            self.out.append(" ")
 
-    def handle_startendtag(self, tag, attrs):
-        if tag in _BLOCKS:
-            self.out.append(" ")
+def element_texts(html: str, name: str) -> list[str]:
+    """The texts of all elements of a name, nested ones with their parent."""
+    events = _Events(html).list
+    runs = groupby(zip(events, _depths(events, {name})), lambda x: x[1] > 0)
+    texts = (_squeezed((value for (way, value), _ in run if not way), " ") for is_open, run in runs if is_open)
+    return [t for t in texts if t]
 
-    def handle_endtag(self, tag):
-        if tag in _HIDDEN and self.hidden:
-            self.hidden -= 1
-        if tag in _BLOCKS:
-            self.out.append(" ")
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
+#: Elements that part lines, and elements that are no running prose.
+_BLOCKS = ("p", "div", "br", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "section", "article", "header", "footer", "hr")
+_NO_PROSE = ("code", "pre", "blockquote", "script", "style", "ul", "ol", "li", "a")
 
 
 def visible_text(html: str | None) -> str:
     """What a reader sees of running prose: no code, quotes, lists, links or scripts; blocks apart."""
-    parser = _Visible()
-    parser.feed(html or "")
-    parser.close()
-    return " ".join("".join(parser.out).split())
+    events = _Events(html or "").list
+    shown = (" " if way and value in _BLOCKS else value if not (way or depth) else "" for (way, value), depth in zip(events, _depths(events, _NO_PROSE)))
+    return _squeezed(shown, "")
 
 
 def map_strings(df: DataFrame, column: str, f: Callable[[str], object], kind: str, arrow: pa.DataType) -> DataFrame:
@@ -237,9 +220,13 @@ def ebook(spark: SparkSession, path: str) -> DataFrame:
     return paragraphs.select("path", "author", "paragraph", F.posexplode(T.sentences(F.col("p"))).alias("sentence", "text"))
 
 
+#: Who speaks in clinical dialogues, written in any case, before a colon.
+SPEAKERS = r"(?i)(^|[ \t\n\r])(Doctor|Patient|Physician|Provider|Clinician|Nurse|Guest_[a-z]+(?:_[0-9])?|D|P)[ \t\n\r]*:[ \t\n\r]*"
+
+
 def speaker_turns(rows: DataFrame, *, text: str = "dialogue") -> DataFrame:
     """``rows`` with one row per turn (turn, speaker, utterance) of a dialogue written "Doctor: ... Patient: ..."."""
-    marked = F.regexp_replace(F.col(text), r"(^|\s)(Doctor|Patient|Nurse|Guest_[a-z]+|Guest_[a-z]+_\d)\s*:\s*", "\x01$2\x02")
+    marked = F.regexp_replace(F.col(text), SPEAKERS, "\x01$2\x02")
     turns = F.filter(F.split(marked, "\x01"), lambda t: F.instr(t, "\x02") > 0)
     each = rows.select("*", F.posexplode(turns).alias("turn", "_t"))
     return each.select("*", F.substring_index("_t", "\x02", 1).alias("speaker"), T.collapse(F.substring_index("_t", "\x02", -1)).alias("utterance")).drop("_t").filter("utterance <> ''")

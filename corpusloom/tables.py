@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many rows, counted first.
@@ -47,3 +48,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` evaluated once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def with_places(df: DataFrame, group: Sequence[str], order: Sequence[Column], *, out: str = "_place", running: Column | None = None) -> DataFrame:
+    """``df`` with each row's place, from 0, in its group by ``order``, and, if asked for, the ``running`` sum before it as
+    ``_before``. ``order`` must be total within a group.
+
+    Rows are laid out in ranges of group and order, and the counts of the ranges before are added to the place in the own
+    range, so a group of any size is spread over tasks. The layout is kept in the checkpoint folder.
+    """
+    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = F.lit(0) if running is None else running
+    laid = df.repartitionByRange(pieces, *group, *order).withColumns({"_piece": F.spark_partition_id(), "_value": value.cast("bigint")})
+    laid = cut_lineage(laid)
+    counts = laid.groupBy(*group, "_piece").agg(F.count("*").alias("_rows"), F.sum("_value").alias("_sum"))
+    earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(c).alias(f"_of_{c}") for c in group), F.col("_piece").alias("_at"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_earlier") for c in ("_rows", "_sum")))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.col("_piece") == F.col("_at")]
+    own = Window.partitionBy(*group, "_piece").orderBy(*order)
+    met = laid.join(broadcast_if_small(counts), on)
+    placed = met.withColumn(out, (F.row_number().over(own) - 1 + F.col("_rows_earlier")).cast("bigint"))
+    if running is not None:
+        placed = placed.withColumn("_before", F.col("_sum_earlier") + F.sum("_value").over(own) - F.col("_value"))
+    return placed.drop("_piece", "_value", "_at", "_rows_earlier", "_sum_earlier", *(f"_of_{c}" for c in group))
