@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.tables import broadcast_if_small, with_places
+
 SOURCE_SHARE, AUTHOR_SHARE = 0.45, 0.08
 
 
@@ -31,112 +32,154 @@ def _author_key() -> Column:
 
 def bounded_candidates(pool: DataFrame, *, multiplier: int = 16) -> DataFrame:
     """Rows within twice the source and author limits by confidence, at most ``multiplier`` quotas a scene; protected
-    rows always. ``pool``: scene, id, source_name, source_author, confidence, protected, quota."""
+    rows always. ``pool``: scene, id, source_name, source_author, confidence, protected, quota. Places in a scene or source
+    come from ranges, so neither is sorted in one task."""
     rows = pool.withColumns(limits(F.col("quota"))).withColumn("_author", _author_key())
     order = [F.desc("confidence"), F.asc("id")]
-    rows = rows.withColumns({
-        "source_rank": F.row_number().over(Window.partitionBy("scene", "source_name").orderBy(*order)),
-        "author_rank": F.row_number().over(Window.partitionBy("scene", "_author").orderBy(*order)),
-        "_protected": F.count_if("protected").over(Window.partitionBy("scene"))})
+    rows = with_places(rows, ["scene", "source_name"], order, out="source_rank").withColumn("source_rank", (F.col("source_rank") + 1).cast("int"))
+    rows = rows.withColumn("author_rank", F.row_number().over(Window.partitionBy("scene", "_author").orderBy(*order)))
     rows = rows.filter(F.col("protected") | ((F.col("source_rank") <= 2 * F.col("source_limit")) & (F.col("author_rank") <= 2 * F.col("author_limit"))))
-    place = F.row_number().over(Window.partitionBy("scene").orderBy(F.desc("protected"), *order))
-    return rows.withColumn("_place", place).filter(F.col("_place") <= F.col("_protected") + F.col("quota") * multiplier)
+    fixed = pool.groupBy("scene").agg(F.count_if("protected").alias("_protected"))
+    placed = with_places(rows.join(broadcast_if_small(fixed), "scene"), ["scene"], [F.desc("protected"), *order])
+    return placed.filter(F.col("_place") < F.col("_protected") + F.col("quota") * multiplier)
 
 
 def kernel(pool: DataFrame) -> DataFrame:
     """The rows of each scene among which an optimal selection is sure to be found, with ``selection_rank``.
 
-    Four cuts, each by rank in its own window: parallel rows of one source and author, rows of a source, rows of an
-    author, rows of the scene. The rank is that in the full pool, so gaps stay. ``pool`` also needs tie_hash.
+    Four cuts, each by rank: parallel rows of one source and author, rows of a source, rows of an author, rows of the
+    scene. The rank is that in the full pool, so gaps stay; it and the place in the scene come from ranges, so no scene is
+    sorted in one task. ``pool`` also needs tie_hash.
     """
     rows = pool.withColumns(limits(F.col("quota"))).withColumn("_author", _author_key())
     blank = F.col("_author").startswith("blank:")
-    regular = rows.filter(~F.col("protected"))
-    rank = lambda *keys: F.row_number().over(Window.partitionBy("scene", *keys).orderBy(*_order()))
-    regular = regular.withColumns({"selection_rank": rank() - 1, "_pair": rank("source_name", "_author")})
-    regular = regular.filter(F.col("_pair") <= F.when(blank, F.col("source_limit")).otherwise(F.col("pair_limit")))
+    regular = with_places(rows.filter(~F.col("protected")), ["scene"], _order(), out="selection_rank").withColumn("selection_rank", F.col("selection_rank").cast("int"))
+    rank = lambda *keys: F.row_number().over(Window.partitionBy("scene", *keys).orderBy("selection_rank"))
+    regular = regular.withColumn("_pair", rank("source_name", "_author")).filter(F.col("_pair") <= F.when(blank, F.col("source_limit")).otherwise(F.col("pair_limit")))
     regular = regular.withColumn("_source", rank("source_name")).filter(F.col("_source") <= F.col("source_keep"))
     regular = regular.withColumn("_by_author", rank("_author")).filter(blank | (F.col("_by_author") <= F.col("author_keep")))
-    regular = regular.withColumn("_global", rank()).filter(F.col("_global") <= F.col("global_keep"))
+    regular = with_places(regular, ["scene"], [F.col("selection_rank")]).filter(F.col("_place") < F.col("global_keep"))
     columns = [*pool.columns, "selection_rank"]
     return rows.filter("protected").withColumn("selection_rank", F.lit(None).cast("int")).select(columns).unionByName(regular.select(columns))
 
 
+class _Arcs:
+    """The rows of each (source, author) pair, cheapest first, as arcs of a residual graph held in arrays.
+
+    Only the cheapest unused and the dearest used row of a pair can take part in the next improvement, so a pair is one arc
+    each way however many rows it has. Relaxing all arcs of a kind is one minimum per end point, over arcs sorted by it.
+    """
+
+    FAR = 1 << 62
+
+    def __init__(self, sources: np.ndarray, authors: np.ndarray, costs: np.ndarray):
+        order = np.lexsort((costs, authors, sources))
+        new = np.r_[True, (np.diff(sources[order]) != 0) | (np.diff(authors[order]) != 0)]
+        self.rows = order
+        self.begin = np.flatnonzero(new)
+        self.end = np.r_[self.begin[1:], len(order)]
+        self.cost = costs[order]
+        self.source, self.author = sources[order][self.begin], authors[order][self.begin]
+        self.taken = self.begin.copy()  # first unused row
+        self.to_author = np.argsort(self.author, kind="stable")
+        self.author_starts = np.flatnonzero(np.r_[True, np.diff(self.author[self.to_author]) != 0])
+        self.source_starts = np.flatnonzero(np.r_[True, np.diff(self.source) != 0])
+        self.forth = self.cost[self.begin].copy()
+        self.back = np.full(len(self.begin), self.FAR, dtype=np.int64)
+
+    def move(self, arc: int, step: int) -> None:
+        at = self.taken[arc] = self.taken[arc] + step
+        self.forth[arc] = self.cost[at] if at < self.end[arc] else self.FAR
+        self.back[arc] = -self.cost[at - 1] if at > self.begin[arc] else self.FAR
+
+    @staticmethod
+    def _least(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(least value, its place) of each stretch."""
+        least = np.minimum.reduceat(values, starts)
+        hit = np.flatnonzero(values == np.repeat(least, np.diff(np.r_[starts, len(values)])))
+        which = np.searchsorted(starts, hit, side="right") - 1
+        first = np.full(len(starts), -1)
+        first[which[::-1]] = hit[::-1]
+        return least, first
+
+    def paths(self, has_room: np.ndarray, n_authors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least cost to reach each author from the sources with room, and the arc by which each author and source is reached."""
+        at_source = np.where(has_room, 0, self.FAR)
+        by_source = np.full(len(has_room), -1)
+        at_author, by_author = np.full(n_authors, self.FAR), np.full(n_authors, -1)
+        while True:
+            reach = np.where((at_source[self.source] < self.FAR) & (self.forth < self.FAR), at_source[self.source] + self.forth, self.FAR)[self.to_author]
+            least, place = self._least(reach, self.author_starts)
+            names = self.author[self.to_author[self.author_starts]]
+            better = least < at_author[names]
+            at_author[names[better]], by_author[names[better]] = least[better], self.to_author[place[better]]
+            back = np.where((at_author[self.author] < self.FAR) & (self.back < self.FAR) & (self.author > 0), at_author[self.author] + self.back, self.FAR)
+            least, place = self._least(back, self.source_starts)
+            names = self.source[self.source_starts]
+            better = least < at_source[names]
+            if not better.any():
+                return at_author, by_author, by_source
+            at_source[names[better]], by_source[names[better]] = least[better], place[better]
+
+
 def assign(rows: list[tuple], needed: int, source_room: dict, author_room: dict) -> list[int]:
-    """Positions of the rows of a largest selection of least cost. Rows are (source, author or None, cost).
+    """Positions of the rows of a largest selection of least cost. Rows are (source, author or None, whole cost).
 
-    Of the rows of one source and author only the cheapest unused and the dearest used one can take part in the next
-    improvement, so the residual graph has one arc each way per pair, however many rows there are. Every step adds the
-    cheapest path from a source with room to an author with room (or to no author), by label correction.
+    Every step adds the cheapest path from a source with room to an author with room, or to no author (number 0), which
+    always has. A path costs a few passes over the arcs, each vectorised.
     """
-    pairs: dict[tuple, list[int]] = defaultdict(list)
-    for i in sorted(range(len(rows)), key=lambda i: rows[i][2]):
-        pairs[rows[i][0], rows[i][1]].append(i)
-    taken = dict.fromkeys(pairs, 0)
-    of_source, of_author = defaultdict(list), defaultdict(list)
-    for s, a in pairs:
-        of_source[s].append(a)
-        of_author[a].append(s)
-    sources, authors = defaultdict(int), defaultdict(int)
-    chosen = 0
-    while chosen < needed:
-        cost = {("s", s): 0 for s in of_source if sources[s] < source_room.get(s, 0)}
-        via: dict[tuple, tuple] = {}
-        queue = list(cost)
-        for node in queue:
-            kind, x = node
-            if kind == "s":
-                steps = [(("a", a), rows[pairs[x, a][taken[x, a]]][2]) for a in of_source[x] if a is not None and taken[x, a] < len(pairs[x, a])]
-            else:
-                steps = [(("s", s), -rows[pairs[s, x][taken[s, x] - 1]][2]) for s in of_author[x] if taken[s, x]]
-            for other, c in steps:
-                if other not in cost or cost[node] + c < cost[other]:
-                    cost[other] = cost[node] + c
-                    via[other] = node
-                    queue.append(other)
-        ends = [(c, x, None) for (k, x), c in cost.items() if k == "a" and authors[x] < author_room.get(x, 0)]
-        ends += [(cost["s", s] + rows[pairs[s, None][taken[s, None]]][2], None, s) for s in of_source if ("s", s) in cost and (s, None) in pairs and taken[s, None] < len(pairs[s, None])]
-        if not ends:
+    if not rows or needed <= 0:
+        return []
+    source_ids = {s: i for i, s in enumerate(dict.fromkeys(r[0] for r in rows))}
+    author_ids = {None: 0} | {a: i for i, a in enumerate(dict.fromkeys(r[1] for r in rows if r[1] is not None), 1)}
+    arcs = _Arcs(np.array([source_ids[r[0]] for r in rows]), np.array([author_ids[r[1]] for r in rows]), np.array([r[2] for r in rows], dtype=np.int64))
+    room_s = np.array([source_room.get(s, 0) for s in source_ids])
+    room_a = np.array([needed if a is None else author_room.get(a, 0) for a in author_ids])
+    for _ in range(needed):
+        at_author, by_author, by_source = arcs.paths(room_s > 0, len(room_a))
+        ends = np.where(room_a > 0, at_author, arcs.FAR)
+        author = int(ends.argmin())
+        if ends[author] >= arcs.FAR:
             break
-        _, author, source = min(ends, key=lambda e: (e[0], str(e[1]), str(e[2])))
-        if author is None:
-            taken[source, None] += 1
-            node = ("s", source)
-        else:
-            authors[author] += 1
-            node = ("a", author)
-        while node in via:
-            before = via[node]
-            if node[0] == "a":
-                taken[before[1], node[1]] += 1
-            else:
-                taken[node[1], before[1]] -= 1
-            node = before
-        sources[node[1]] += 1
-        chosen += 1
-    return sorted(i for k, n in taken.items() for i in pairs[k][:n])
+        room_a[author] -= author > 0
+        arc = int(by_author[author])
+        while True:
+            arcs.move(arc, 1)
+            source = int(arcs.source[arc])
+            undone = int(by_source[source])
+            if undone < 0:
+                break
+            arcs.move(undone, -1)
+            arc = int(by_author[arcs.author[undone]])
+        room_s[source] -= 1
+    return sorted(int(i) for b, t in zip(arcs.begin, arcs.taken) for i in arcs.rows[b:t])
 
 
 def select_scene(frame: pd.DataFrame) -> pd.DataFrame:
-    """One scene's selection: protected rows first, then the best assignment within what they leave of the limits."""
+    """One scene's selection: protected rows first, by confidence, hash and id, then the best assignment within what they
+    leave of the limits. Where protected rows alone break the quota or a limit, nothing is added to them
+    (``protected_conflicts`` lists why)."""
     frame = frame.reset_index(drop=True)
+    out = ["scene", "id", "confidence"]
     if frame.empty:
-        return frame[["scene", "id", "confidence"]]
+        return frame[out]
     quota, by_source, by_author = (int(frame[c].iloc[0]) for c in ("quota", "source_limit", "author_limit"))
-    fixed = frame[frame["protected"]]
     named = frame["source_author"].fillna("").str.strip()
-    source_room = {s: by_source - int((fixed["source_name"] == s).sum()) for s in frame["source_name"].unique()}
-    author_room = {a: by_author - int((named[fixed.index] == a).sum()) for a in named.unique() if a}
+    fixed = frame[frame["protected"]]
+    fixed = fixed.assign(_minus=-fixed["confidence"], _name=fixed["id"].astype(str)).sort_values(["_minus", "tie_hash", "_name"])
+    of_source, of_author = fixed["source_name"].value_counts(), named[fixed.index][lambda a: a != ""].value_counts()
+    if len(fixed) > quota or (of_source > by_source).any() or (of_author > by_author).any():
+        return fixed.head(quota)[out]
+    source_room = {s: by_source - int(of_source.get(s, 0)) for s in frame["source_name"].unique()}
+    author_room = {a: by_author - int(of_author.get(a, 0)) for a in named.unique() if a}
     regular = frame[~frame["protected"]]
-    needed = max(0, quota - len(fixed))
-    ranks = regular["selection_rank"].astype("int64").tolist()
-    scale = needed * (max(ranks, default=0) + 1) + 1
-    rows = [
-        (s, named[i] or None, (1_000_000 - round(min(max(float(c), 0.0), 1.0) * 1_000_000)) * scale + r)
-        for i, s, c, r in zip(regular.index, regular["source_name"], regular["confidence"], ranks)
-    ]
-    picked = regular.iloc[assign(rows, needed, source_room, author_room)]
-    return pd.concat([fixed.head(quota), picked])[["scene", "id", "confidence"]]
+    needed = quota - len(fixed)
+    ranks = regular["selection_rank"].astype("int64").to_numpy()
+    scale = needed * (int(ranks.max(initial=0)) + 1) + 1
+    score = (1_000_000 - (regular["confidence"].astype(float).clip(0, 1) * 1_000_000).round()).astype("int64").to_numpy()
+    rows = list(zip(regular["source_name"], (named[regular.index].where(lambda a: a != "", None)), (score * scale + ranks).tolist()))
+    rows = [(s, a or None, c) for s, a, c in rows]
+    return pd.concat([fixed, regular.iloc[assign(rows, needed, source_room, author_room)]])[out]
 
 
 def select_quotas(pool: DataFrame) -> DataFrame:

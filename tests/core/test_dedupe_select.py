@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from collections import Counter
 
 import pandas as pd
@@ -85,15 +86,34 @@ def test_assignment_is_largest_and_cheapest(rows, needed, per_source, per_author
     assert all(c <= per_source for c in Counter(rows[i][0] for i in got).values())
 
 
+COLUMNS = ["scene", "id", "source_name", "source_author", "confidence", "protected", "tie_hash", "selection_rank", "quota", "source_limit", "author_limit"]
+
+
 def test_select_scene_keeps_protected_rows_within_the_limits():
-    rows = [("s", i, f"src{i % 3}", f"a{i % 5}" if i % 4 else "", 0.5 + (i % 5) / 10, i < 2, i, 10, 4, 2) for i in range(40)]
-    frame = pd.DataFrame(rows, columns=["scene", "id", "source_name", "source_author", "confidence", "protected", "selection_rank", "quota", "source_limit", "author_limit"])
+    rows = [("s", i, f"src{i % 3}", f"a{i % 5}" if i % 4 else "", 0.5 + (i % 5) / 10, i < 2, "x", i, 10, 4, 2) for i in range(40)]
+    frame = pd.DataFrame(rows, columns=COLUMNS)
     got = frame[frame["id"].isin(P.select_scene(frame)["id"])]
     assert len(got) == 10 and {0, 1} <= set(got["id"])
     assert got["source_name"].value_counts().max() <= 4
     assert got[got["source_author"] != ""]["source_author"].value_counts().max() <= 2
 
 
+def test_protected_rows_beyond_the_quota_are_taken_by_rank_whatever_their_order():
+    rows = [("s", i, f"src{i}", "", 0.5 + (i % 4) / 10, True, "ba"[i % 2], 0, 3, 3, 3) for i in range(9)] + [("s", 20, "src", "", 1.0, False, "a", 0, 3, 3, 3)]
+    frame = pd.DataFrame(rows, columns=COLUMNS)
+    for seed in range(3):
+        assert P.select_scene(frame.sample(frac=1, random_state=seed))["id"].tolist() == [3, 7, 2]  # a conflict: no regular row is added
+
+
+def test_assignment_of_a_whole_quota_takes_seconds():
+    r = random.Random(2)
+    rows = [(f"s{int(40 * r.random() ** 3)}", None if r.random() < 0.1 else f"a{int(900 * r.random() ** 3)}", r.randrange(10**6) * 1000 + i) for i in range(30_000)]
+    began = time.perf_counter()
+    got = P.assign(rows, 1_800, dict.fromkeys({s for s, _, _ in rows}, 810), dict.fromkeys({a for _, a, _ in rows if a}, 144))
+    assert len(got) == 1_800 and time.perf_counter() - began < 20
+    assert max(Counter(rows[i][0] for i in got).values()) <= 810 and max(Counter(rows[i][1] for i in got if rows[i][1]).values()) <= 144
+
+
 def test_shortages_are_all_listed(spark):
     pool = spark.createDataFrame([("a", 3), ("b", 2)], "scene string, quota int")
     report = P.shortages(pool, spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "scene string, id int"))

@@ -83,7 +83,7 @@ def test_variants_follow_their_rules(spark):
     made = variants.with_variants(df)
     assert variants.violations(made, df).count() == 0
     got = {r["id"]: r["variants"] for r in made.collect()}
-    assert sorted(got) == [0, 4, 6] and all(len(v) == 3 for v in got.values())
+    assert sorted(got) == [0, 4, 5, 6, 7] and all(len(v) == 3 for v in got.values())
     assert [v["difficulty"] for v in got[0]] == ["easy", "medium", "hard"] and any(v["aliases"] for v in got[0])
     assert all(v["answer_word_count"] == 1 for v in got[6])  # no answer goes across punctuation
     broken = made.filter("id = 0")
