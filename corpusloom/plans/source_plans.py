@@ -48,7 +48,8 @@ def source_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT doc_id AS segment_id, doc_id % 7 AS meeting, (doc_id * 13) % 300 AS first, (doc_id * 13) % 300 + doc_id % 40 AS last FROM documents), t AS (SELECT id % 7 AS meeting, id // 7 AS pos, CAST(id AS VARCHAR) AS word, id % 5 = 0 AS punctuation FROM raw_items)
+    """WITH t AS (SELECT id % 7 AS meeting, id // 7 AS pos, CAST(id AS VARCHAR) AS word, id % 5 = 0 AS punctuation FROM raw_items), e AS (SELECT meeting, max(pos) + 1 AS positions FROM t GROUP BY meeting),
+s AS (SELECT doc_id AS segment_id, meeting, (doc_id * 13) % positions AS first, (doc_id * 13) % positions + doc_id % 40 AS last FROM documents JOIN e ON meeting = doc_id % 7)
 SELECT segment_id, trim(string_agg(CASE WHEN punctuation THEN word ELSE ' ' || word END, '' ORDER BY pos)) AS text FROM s JOIN t ON s.meeting = t.meeting AND t.pos BETWEEN s.first AND s.last GROUP BY segment_id"""
 )
 def token_ranges(spark: SparkSession, d: str) -> DataFrame:

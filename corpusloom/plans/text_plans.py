@@ -21,7 +21,7 @@ def document_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_SENTENCES = f"""SELECT doc_id * 100000 + pos - 1 AS item_id, doc_id, CAST(pos - 1 AS INT) AS pos, s[pos] AS text
-FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents WHERE lang = 'en'))"""
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS pos FROM (SELECT doc_id, {S.sentences('text')} AS s FROM documents))"""
 
 
 @query(SQL_SENTENCES)
@@ -31,7 +31,7 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, list_transform({S.sentences(S.sub(S.collapse('text'), '(^|[^A-Za-z])(Mr|Mrs|Ms|Dr|Prof|Sr|Jr|St|[A-Z])[.]', chr(92) + '1' + chr(92) + '2' + chr(2)))}, lambda s: replace(s, chr(2), '.')) AS sentences
-FROM documents WHERE lang = 'en'"""
+FROM documents"""
 )
 def abbrev_safe_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.abbreviation_safe_sentences(F.col("text")).alias("sentences"))
