@@ -14,7 +14,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.tables import broadcast_if_small, cut_lineage
@@ -189,11 +190,9 @@ def fit_model(x: np.ndarray, y: np.ndarray) -> LogisticRegression:
     return model
 
 
-def source_limits(texts: DataFrame) -> DataFrame:
+def source_limits(lengths: DataFrame) -> DataFrame:
     """(_source, _chars, _bytes): the length in characters and in bytes that each source's texts end at most often, where
-    that is often enough to be a limit; null otherwise. Counted over all texts."""
-    lengths = texts.select("_source", F.length("_text").alias("_c"), F.octet_length("_text").alias("_b"))
-    lengths = cut_lineage(lengths.groupBy("_source", "_c", "_b").agg(F.count("*").alias("_n")))
+    that is often enough to be a limit; null otherwise. ``lengths`` counts all texts: (_source, _c, _b, _n)."""
     totals = lengths.groupBy("_source").agg(F.sum("_n").alias("_all"))
 
     def most(length, name):
@@ -206,31 +205,45 @@ def source_limits(texts: DataFrame) -> DataFrame:
     return cut_lineage(chars.join(size, "_source", "full_outer"))
 
 
-def _with_limits(texts: DataFrame) -> DataFrame:
-    """Texts with ``_at`` (length equals the source's limit in characters) and ``_near`` (in bytes, a broken character aside)."""
-    limited = texts.join(broadcast_if_small(source_limits(texts)), "_source", "left")
-    near = (F.octet_length("_text") <= F.col("_bytes")) & (F.octet_length("_text") > F.col("_bytes") - 4)
-    at = F.length("_text") == F.col("_chars")
-    return limited.select("_id", "_source", "_text", F.coalesce(at, F.lit(False)).alias("_at"), F.coalesce(near, F.lit(False)).alias("_near"))
+def _limited(rows: DataFrame, limits: DataFrame, chars: Column, size: Column) -> DataFrame:
+    """``rows`` with ``_at`` (length equals the source's limit in characters) and ``_near`` (in bytes, a broken character aside)."""
+    near = (size <= F.col("_bytes")) & (size > F.col("_bytes") - 4)
+    met = rows.join(broadcast_if_small(limits), "_source", "left")
+    return met.withColumns({"_at": F.coalesce(chars == F.col("_chars"), F.lit(False)), "_near": F.coalesce(near, F.lit(False))}).drop("_chars", "_bytes")
 
 
-def train(texts: DataFrame, *, documents: int = TRAINING_DOCUMENTS, seed: int = 7) -> LogisticRegression:
-    """The classifier, fitted on about ``documents`` texts drawn by a hash of their identifier."""
-    total = texts.count()
-    share = min(1.0, documents / max(1, total))
-    drawn = texts.filter(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)) if share < 1 else texts
+def survey(texts: DataFrame, share: float, seed: int) -> DataFrame:
+    """One pass: the counted lengths of all texts (_source, _c, _b, _n), and the examples (x, y) of a share of them, drawn by
+    a hash of their identifier, with the length of the text each is made of."""
+    drawn = F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    columns = ["_source", "_c", "_b", "_n", "x", "y"]
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys = [], []
-            for text in b["_text"].to_pylist():
+            t = pa.table({"_source": b["_source"], "_c": pc.utf8_length(b["_text"]), "_b": pc.binary_length(b["_text"])})
+            n = t.group_by(["_source", "_c", "_b"]).aggregate([([], "count_all")]).combine_chunks()
+            if n.num_rows:
+                empty = [pa.nulls(n.num_rows, pa.list_(pa.int32())), pa.nulls(n.num_rows, pa.int8())]
+                yield from pa.Table.from_arrays([*(n[c] for c in ("_source", "_c", "_b", "count_all")), *empty], columns).to_batches()
+            at, xs, ys = [], [], []
+            chosen = pa.Table.from_batches([b]).append_column("_c", t["_c"]).append_column("_b", t["_b"]).filter(b["_drawn"])
+            for i, text in enumerate(chosen["_text"].to_pylist()):
                 for x, y in examples(text, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")) ^ seed)):
+                    at.append(i)
                     xs.append(x)
                     ys.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.int8())], ["x", "y"])
+            if at:
+                made = chosen.select(["_source", "_c", "_b"]).take(pa.array(at)).combine_chunks()
+                made = [*made.columns, pa.nulls(len(at), pa.int64()), pa.array(xs, pa.list_(pa.int32())), pa.array(ys, pa.int8())]
+                yield from pa.Table.from_arrays(made, columns).to_batches()
 
-    drawn = drawn.filter(~F.col("_at") & ~F.col("_near"))  # texts at a limit are no examples of intact ones
-    rows = drawn.select("_text").mapInArrow(task, "x array<int>, y tinyint").orderBy("y", F.xxhash64("x")).toArrow()
+    read = texts.select("_source", "_text", drawn.alias("_drawn"))
+    return cut_lineage(read.mapInArrow(task, "_source string, _c int, _b int, _n bigint, x array<int>, y tinyint"))
+
+
+def train(examples: DataFrame) -> LogisticRegression:
+    """The classifier, fitted on the examples made of texts that are at no limit: others are no examples of intact ones."""
+    rows = examples.filter(~F.col("_at") & ~F.col("_near")).select("x", "y").orderBy("y", F.xxhash64("x")).toArrow()
     if not rows.num_rows:
         return LogisticRegression()
     y = rows["y"].to_numpy().astype(float)
@@ -238,30 +251,36 @@ def train(texts: DataFrame, *, documents: int = TRAINING_DOCUMENTS, seed: int =
     return fit_model(x, y)
 
 
-def score_texts(rows: DataFrame, *, ident: str = "doc_id", text: str = "text", source: str = "source", documents: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """(ident, source, score) of every row: the probability that the text was cut off.
+def score_texts(rows: DataFrame, *, ident: str = "doc_id", text: str = "text", source: str = "source", documents: int = TRAINING_DOCUMENTS, seed: int = 7) -> DataFrame:
+    """(ident, source, score) of every row: the probability that the text was cut off. The classifier is fitted on about
+    ``documents`` texts; the table is read twice, besides its row count.
 
     Defined results: null, empty and blank texts score 0, as nothing shows a cut; a null source has limits of its own;
     repeated rows are scored each; texts of any length are read whole for their length and structure; an empty table
     gives no rows. Only the three named columns are read, so other columns play no part.
     """
-    read = rows.select(F.col(ident).alias("_id"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(source).alias("_named"), F.col(text).alias("_text"))
+    read = rows.select(F.col(ident).alias("_id"), F.coalesce(F.col(source), F.lit("")).alias("_source"), F.col(text).alias("_text"))
     said = F.coalesce(F.col("_text").rlike(r"[^\s\p{Cf}\p{Cc}]"), F.lit(False))  # ends at the first visible character
-    texts = _with_limits(read.filter(said).select("_id", "_source", "_text"))
+    surveyed = survey(read.filter(said), min(1.0, documents / max(1, rows.count())), seed)
+    lengths = surveyed.filter("x IS NULL").groupBy("_source", "_c", "_b").agg(F.sum("_n").alias("_n"))
+    limits = source_limits(lengths)
+    learned = train(_limited(surveyed.filter("x IS NOT NULL"), limits, F.col("_c"), F.col("_b")))
     kind, source_kind = rows.schema[ident].dataType.simpleString(), rows.schema[source].dataType.simpleString()
-    model = read.sparkSession.sparkContext.broadcast(train(texts, documents=documents))
+    model = read.sparkSession.sparkContext.broadcast(learned)
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            if b.num_rows:
-                x = np.array([features(t, a, n) for t, a, n in zip(b["_text"].to_pylist(), b["_at"].to_pylist(), b["_near"].to_pylist())])
-                yield pa.RecordBatch.from_arrays([b["_id"], b["_source"], pa.array(m.probability(x))], ["_id", "_source", "score"])
-
-    scored = texts.mapInArrow(task, f"_id {kind}, _source {source_kind}, score double")
-    blank = read.filter(~said).select("_id", "_source", F.lit(0.0).alias("score"))
-    both = scored.unionByName(blank)
-    return both.select(F.col("_id").alias(ident), F.nullif("_source", F.lit("")).alias(source), "score")
+            score = np.zeros(b.num_rows)
+            shown = np.flatnonzero(b["_said"].to_numpy(zero_copy_only=False))
+            if len(shown):
+                part = b.take(pa.array(shown))
+                score[shown] = m.probability(np.array([features(*r) for r in zip(*(part[c].to_pylist() for c in ("_text", "_at", "_near")))]))
+            yield pa.RecordBatch.from_arrays([b["_id"], b["_source"], pa.array(score)], ["_id", "_source", "score"])
+
+    marked = _limited(read.withColumn("_said", said), limits, F.length("_text"), F.octet_length("_text"))
+    scored = marked.select("_id", "_source", "_text", "_said", "_at", "_near").mapInArrow(task, f"_id {kind}, _source {source_kind}, score double")
+    return scored.select(F.col("_id").alias(ident), F.nullif("_source", F.lit("")).alias(source), "score")
 
 
 def cut_off(rows: DataFrame, *, threshold: float = 0.5, **columns) -> DataFrame:

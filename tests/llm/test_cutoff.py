@@ -56,7 +56,10 @@ def test_blank_null_long_and_repeated(spark):
 
 def test_limits_need_enough_texts(spark):
     rows = [("a", "x" * 100)] * 9 + [("a", "y" * n) for n in range(70, 90)] + [("b", "x" * 100)] * 2
-    got = cutoff.source_limits(spark.createDataFrame(rows, "_source string, _text string")).collect()
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_id int, _source string, _text string")
+    surveyed = cutoff.survey(df.repartition(3), 1.0, 7)
+    assert surveyed.filter("x IS NULL").agg({"_n": "sum"}).first()[0] == len(rows)
+    got = cutoff.source_limits(surveyed.filter("x IS NULL")).collect()
     assert [tuple(r) for r in got] == [("a", 100, 100)]
 
 
