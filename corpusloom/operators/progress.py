@@ -104,3 +104,13 @@ def weighted_pick(candidates: DataFrame, n: int, seed: int) -> DataFrame:
     """n rows drawn without replacement in proportion to ``weight``: the n least exponential keys, by a seeded hash."""
     u = (F.pmod(F.xxhash64("question", F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
     return candidates.withColumn("_key", -F.log(u) / F.col("weight")).orderBy("_key", "question").limit(n).drop("_key")
+
+
+def session_stats(log: DataFrame) -> DataFrame:
+    """(question, completed, wrong, accuracy, longest, highest): outcomes, their share of right ones in percent, the longest
+    run of right ones, and the highest level that five right ones in a row, again and again, would have reached."""
+    done = log.filter(F.col("action").isin("correct", "wrong"))
+    n = done.groupBy("question").agg(F.count("*").alias("completed"), F.count_if(F.col("action") == "wrong").alias("wrong"))
+    share = F.round((F.col("completed") - F.col("wrong")) * 100.0 / F.col("completed"), 1)
+    highest = F.element_at(F.array(*map(F.lit, LEVELS)), F.least(F.lit(len(LEVELS)), F.floor(F.col("longest") / 5).cast("int") + 1))
+    return n.join(longest_streaks(log), "question").select("question", "completed", "wrong", share.alias("accuracy"), "longest", highest.alias("highest"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import dedupe as D
 from corpusloom.operators import store, variants
+from corpusloom.tables import cut_lineage
 
 
 def rows_to_publish(items: DataFrame, selected: DataFrame, translated: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -48,11 +49,29 @@ def extend(base: DataFrame, extension: DataFrame, *, most: int) -> DataFrame:
     return fresh.join(kept, "id").orderBy("hash", "id").limit(most)
 
 
-def curate(rows: DataFrame, *, quota: int) -> DataFrame:
-    """Per category ``quota`` items by hash, near-duplicates skipped, from a reservoir of bounded size."""
+def curate(rows: DataFrame, *, quota: int, categories: list[str] | None = None) -> DataFrame:
+    """Per category ``quota`` items by hash, in the order of the categories: texts that pass the quality gate and have
+    variants, none near one taken before, from a reservoir of bounded size. ``rows``: category, id, text.
+
+    The categories are a small dimension; each is decided at once, with what earlier ones took as given.
+    """
+    from corpusloom.operators.gate import with_rejection_reason
     from corpusloom.operators.select import balanced_reservoir
 
-    pool = balanced_reservoir(rows.withColumn("hash", T.normalized_hash(F.col("text"))), quota=quota)
-    order = F.row_number().over(Window.partitionBy("category").orderBy("hash", "id"))
-    kept = D.dedupe(pool.withColumn("protected", F.lit(False))).filter("decision = 'accepted'").select("id")
-    return pool.join(kept, "id").withColumn("place", order).filter(F.col("place") <= quota)
+    sound = with_rejection_reason(rows).filter(F.col("reason").isNull() & F.col("text").isNotNull())
+    sound = sound.select("category", "id", F.col("clean_text").alias("text")).withColumn("hash", T.normalized_hash(F.col("text")))
+    one = Window.partitionBy("category", "hash").orderBy("id")
+    once = sound.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_n")
+    pool = balanced_reservoir(once, quota=quota).drop("place")
+    ready = cut_lineage(pool.join(variants.with_variants(pool.groupBy("id").agg(F.max("text").alias("text"))).select("id"), "id", "left_semi"))
+    names = categories or [r["category"] for r in ready.select("category").distinct().orderBy("category").limit(1_001).collect()]
+    if len(names) > 1_000:
+        raise ValueError("curate is for a small dimension of categories")
+    # items go by category, then hash: numbered so, the greedy decision is that of the duplicates stage
+    order = F.create_map(*[F.lit(x) for pair in zip(names, range(len(names))) for x in pair])
+    place = F.row_number().over(Window.partitionBy("category").orderBy("hash", "id"))
+    numbered = ready.filter(F.col("category").isin(names)).withColumn("_at", F.element_at(order, F.col("category")).cast("bigint") * (1 << 32) + place)
+    texts = numbered.select(F.col("_at").alias("id"), "text", F.lit(False).alias("protected"))
+    kept = D.dedupe(texts).filter("decision = 'accepted'").select(F.col("id").alias("_at"))
+    left = numbered.join(kept, "_at").withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy("_at")))
+    return left.filter(F.col("place") <= quota).select("category", "id", "text", "hash", "place")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.stages import invalidated
 from corpusloom.tables import with_places
 
 
@@ -53,10 +54,23 @@ def replay(decisions: DataFrame, live: DataFrame, current: DataFrame, rejected:
     one = live.groupBy(identity).agg(F.count("*").alias("matches"), F.min("id").alias("id"))
     asked = decisions.select(*identity, "scene").distinct()
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"l.{c}")) for c in identity]
-    met = asked.alias("d").join(one.alias("l"), on, "left").select("d.*", "l.matches", "l.id")
+    met = asked.alias("d").join(one.alias("l"), on, "left").select("d.*", "l.matches", F.when(F.col("l.matches") == 1, F.col("l.id")).alias("id"))
     met = met.join(rejected.select(F.col("item_id").alias("id")).distinct().withColumn("gone", F.lit(True)), "id", "left")
     met = met.join(current.select("id", F.col("scene").alias("now")), "id", "left")
     outcome = (
         F.when(F.col("matches").isNull(), "unmatched").when(F.col("matches") > 1, "ambiguous").when(F.col("gone"), "skipped_rejected")
         .when(F.col("now").eqNullSafe(F.col("scene")), "noop").when(F.col("now").isNotNull(), "conflict").otherwise("applied"))
-    return met.select(*identity, "scene", outcome.alias("outcome"))
+    return met.select(*identity, "scene", "id", outcome.alias("outcome"))
+
+
+def apply_decisions(classified: DataFrame, outcomes: DataFrame, later: dict[str, DataFrame], *, method: str = "review") -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(classified, later stages) after a review: items whose outcome is ``applied`` get the decided scene and the review's
+    method, and what later stages made of them falls away; all other outcomes change nothing, so a second run changes nothing.
+
+    ``classified`` has id, scene and method, ``outcomes`` id, scene and outcome, one applied outcome an item at most; ``later``
+    has tables by item_id.
+    """
+    new = outcomes.filter("outcome = 'applied'").select("id", F.col("scene").alias("_scene"), F.lit(True).alias("_new"))
+    joined = classified.join(new, "id", "left")
+    after = joined.withColumns({"scene": F.when(F.col("_new"), F.col("_scene")).otherwise(F.col("scene")), "method": F.when(F.col("_new"), F.lit(method)).otherwise(F.col("method"))})
+    return after.drop("_scene", "_new"), invalidated(later, new.select(F.col("id").alias("item_id")))

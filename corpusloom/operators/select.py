@@ -182,13 +182,47 @@ def select_scene(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([fixed, regular.iloc[assign(rows, needed, source_room, author_room)]])[out]
 
 
-def select_quotas(pool: DataFrame) -> DataFrame:
+def select_quotas(pool: DataFrame, *, bounded: bool = True) -> DataFrame:
     """(scene, id, confidence): the selection of every scene. The kernel bounds what one task holds: for a quota of
-    1,800 at most about 30,000 rows, whatever the size of the pool."""
-    rows = kernel(pool).withColumns(limits(F.col("quota")))
+    1,800 at most about 30,000 rows, whatever the size of the pool. Unbounded, whole scenes are assigned, with the same
+    result, as the kernel loses no optimal selection; that is for pools whose scenes fit a task."""
+    if bounded:
+        rows = kernel(pool)
+    else:
+        fixed = pool.filter("protected").withColumn("selection_rank", F.lit(None).cast("int"))
+        ranked = with_places(pool.filter(~F.col("protected")), ["scene"], _order(), out="selection_rank")
+        rows = fixed.unionByName(ranked.withColumn("selection_rank", F.col("selection_rank").cast("int")))
+    rows = rows.withColumns(limits(F.col("quota")))
     return rows.groupBy("scene").applyInPandas(select_scene, "scene string, id bigint, confidence double")
 
 
+def select_remaining(pool: DataFrame, selected: DataFrame) -> DataFrame:
+    """What can be added to an earlier selection within what it leaves of quotas and limits. ``selected`` has scene and id."""
+    marks = selected.select("scene", "id").distinct().withColumn("_held", F.lit(True))
+    rows = pool.join(marks, ["scene", "id"], "left").withColumn("protected", F.coalesce("_held", F.lit(False))).drop("_held")
+    return select_quotas(rows).join(marks, ["scene", "id"], "left_anti")
+
+
+def variant_ready(pool: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of a pool whose sentence (``texts``: id, text) has three variants; protected rows are not spared."""
+    from corpusloom.operators.variants import with_variants
+
+    return pool.join(with_variants(texts).select("id"), "id", "left_semi")
+
+
+def select_checked(pool: DataFrame, texts: DataFrame) -> DataFrame:
+    """The selection of sentences with variants; conflicts of protected rows are an error that names them."""
+    ready = variant_ready(pool, texts)
+    conflicts = protected_conflicts(ready).limit(100).collect()
+    if conflicts:
+        raise ConflictError("; ".join(f"{r['scene']}: {r['kind']} {r['name']} {r['n']} > {r['allowed']}" for r in sorted(conflicts)))
+    return select_quotas(ready)
+
+
+class ConflictError(ValueError):
+    """Raised where protected rows alone break a quota or limit."""
+
+
 def shortages(pool_scenes: DataFrame, selected: DataFrame) -> DataFrame:
     """(scene, quota, selected, shortage) of all scenes with a quota."""
     n = selected.groupBy("scene").agg(F.count("*").alias("selected"))

@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The stages in order.
 STAGES = ("clean", "dedupe", "classify", "select", "translate", "variants")
 
 
-def pending(items: DataFrame, previous: DataFrame | None, own: DataFrame | None, rejected: DataFrame, limit: int | None = None) -> DataFrame:
+def pending(
+    items: DataFrame, previous: DataFrame | None, own: DataFrame | None, rejected: DataFrame, limit: int | None = None, *, version: str | None = None, authoritative: tuple[str, ...] = ()
+) -> DataFrame:
     """Items that a stage has still to do: the stage before is done, this one is not, and they are not rejected.
 
-    ``own`` holds this stage's results that need no repetition. With a limit the first by id, as a bounded top-k.
+    ``own`` holds this stage's results. With a ``version``, results of another version (or of none) count as not done, unless
+    their ``method`` is an authoritative one, which no new model overrules. With a limit the first by id, as a bounded top-k.
     """
     left = items if previous is None else items.join(previous.select("id").distinct(), "id", "left_semi")
     if own is not None:
+        if version is not None:
+            own = own.filter(F.coalesce(F.col("version") == version, F.lit(False)) | F.coalesce(F.col("method").isin(*authoritative), F.lit(False)))
         left = left.join(own.select("id").distinct(), "id", "left_anti")
     left = left.join(rejected.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
     return left.orderBy("id").limit(limit) if limit else left
 
 
+def checkpointed(stage: DataFrame, results: DataFrame, rejections: DataFrame, rejected: DataFrame, eligible: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stage, rejections) after a batch: its results replace those of the same items, its rejections are added. A batch with
+    an item that is not eligible, or both accepted and rejected, is an error, and then nothing is written."""
+    wrong = checkpoint_violations(results, rejected, eligible).limit(10).collect()
+    if wrong:
+        raise ValueError(f"a batch may not write {sorted((r['item_id'], r['problem']) for r in wrong)}")
+    kept = stage.join(results.select("item_id").unionByName(rejected.select("item_id")), "item_id", "left_anti")
+    before = rejections.join(rejected.select("item_id", "stage"), ["item_id", "stage"], "left_anti")
+    return kept.unionByName(results), before.unionByName(rejected, allowMissingColumns=True)
+
+
+def invalidated(derived: dict[str, DataFrame], changed: DataFrame) -> dict[str, DataFrame]:
+    """The derived tables without the rows of changed items (``item_id``), which have to be made again."""
+    gone = changed.select("item_id").distinct()
+    return {name: t.join(gone, "item_id", "left_anti") for name, t in derived.items()}
+
+
+def set_json_fields(payload: Column, fields: Column) -> Column:
+    """A JSON object with the fields of another, given as a struct, set: equal names are replaced, new ones added. Values of
+    the payload keep their types; a null payload stays null."""
+    kind = "map<string, variant>"
+    new = F.from_json(F.to_json(fields), kind)
+    kept = F.map_filter(F.from_json(payload, kind), lambda k, _: ~F.map_contains_key(new, k))
+    return F.to_json(F.map_concat(kept, new))
+
+
 def stage_inputs(items: DataFrame, previous: DataFrame, own: DataFrame, rejected: DataFrame, *, completed: bool = False, include_rejected: bool = False) -> DataFrame:
     """Items with the payload of the stage before and their own, completed and rejected ones on request."""
     joined = items.join(previous, "id").join(own, "id", "left")
@@ -37,11 +68,13 @@ def latest_rejections(rejections: DataFrame) -> DataFrame:
     return rejections.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") == 1).drop("_n")
 
 
-def stage_counts(items: DataFrame, rejections: DataFrame) -> DataFrame:
-    """(stage, n): all items, and rejected items by stage."""
-    whole = items.agg(F.count("*").alias("n")).select(F.lit("raw").alias("stage"), "n")
+def stage_counts(items: DataFrame, rejections: DataFrame, done: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(stage, n): all items, accepted items of each stage given in ``done``, and rejected items by stage."""
+    out = items.agg(F.count("*").alias("n")).select(F.lit("raw").alias("stage"), "n")
+    for stage, results in (done or {}).items():
+        out = out.unionByName(results.agg(F.countDistinct("id").alias("n")).select(F.lit(stage).alias("stage"), "n"))
     gone = rejections.groupBy("stage").agg(F.countDistinct("item_id").alias("n"))
-    return whole.unionByName(gone.select(F.concat(F.lit("rejected_"), F.col("stage")).alias("stage"), "n"))
+    return out.unionByName(gone.select(F.concat(F.lit("rejected_"), F.col("stage")).alias("stage"), "n"))
 
 
 def reason_counts(rejections: DataFrame) -> DataFrame:

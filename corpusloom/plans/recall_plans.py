@@ -104,6 +104,21 @@ def replay_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query(
+    """WITH dec AS (SELECT source_name, text, min(sub_scene) AS scene FROM candidates WHERE confidence >= 0.8 AND sub_scene IS NOT NULL GROUP BY ALL HAVING count(DISTINCT sub_scene) = 1), live AS (SELECT source_name, text, min(id) AS id FROM raw_items GROUP BY ALL HAVING count(*) = 1),
+new AS (SELECT l.id, d.scene FROM dec d JOIN live l ON l.source_name IS NOT DISTINCT FROM d.source_name AND l.text IS NOT DISTINCT FROM d.text WHERE l.id NOT IN (SELECT item_id FROM rejections WHERE item_id IS NOT NULL))
+SELECT r.id, CASE WHEN r.sub_scene IS NULL AND n.id IS NOT NULL THEN n.scene ELSE r.sub_scene END AS scene, CASE WHEN r.sub_scene IS NULL AND n.id IS NOT NULL THEN 'review' ELSE 'source' END AS method FROM raw_items r LEFT JOIN new n USING (id)"""
+)
+def review_applied(spark: SparkSession, d: str) -> DataFrame:
+    """The items' scenes after confident earlier decisions that agree have been applied."""
+    confident = table(spark, d, "candidates").filter("confidence >= 0.8 AND sub_scene IS NOT NULL").select("source_name", "text", F.col("sub_scene").alias("scene"))
+    agreed = confident.groupBy("source_name", "text").agg(F.min("scene").alias("scene"), F.countDistinct("scene").alias("ways")).filter("ways = 1").drop("ways")
+    items = table(spark, d, "raw_items")
+    now = items.select("id", F.col("sub_scene").alias("scene"), F.lit("source").alias("method"))
+    done = V.replay(agreed, items, now, table(spark, d, "rejections"), ["source_name", "text"])
+    return V.apply_decisions(now, done, {})[0]
+
+
 @query("SELECT source_name, text, count(DISTINCT coalesce(sub_scene, chr(0))) AS ways FROM candidates GROUP BY ALL HAVING count(DISTINCT coalesce(sub_scene, chr(0))) > 1")
 def replay_conflicts(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "candidates").select("source_name", "text", F.col("sub_scene").alias("scene"))
@@ -235,13 +250,19 @@ def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'scene' AS dimension, scene_key AS key, count(s.id) AS n FROM sub_scenes d LEFT JOIN sentences s ON s.sub_scene_key = d.scene_key GROUP BY scene_key UNION ALL
-SELECT 'licence', license_name, count(*) FROM sentences WHERE license_name IS NOT NULL GROUP BY 2"""
+    f"""WITH v AS ({_sql_variants()}) SELECT 'scene' AS dimension, scene_key AS key, count(s.id) AS n FROM sub_scenes d LEFT JOIN sentences s ON s.sub_scene_key = d.scene_key GROUP BY scene_key UNION ALL
+SELECT 'licence', license_name, count(*) FROM sentences WHERE license_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'source', source_name, count(*) FROM sentences WHERE source_name IS NOT NULL GROUP BY 2 UNION ALL
+SELECT 'difficulty', difficulty, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'words', CAST(answer_word_count AS VARCHAR), count(*) FROM v GROUP BY 2"""
 )
 def publish_reports(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sentences").select("id", F.col("sub_scene_key").alias("scene_key"), "license_name")
-    scenes = Q.distribution(s, "scene_key", table(spark, d, "sub_scenes"), "scene")
-    return scenes.unionByName(Q.distribution(s, "license_name", s.filter("license_name IS NOT NULL"), "licence"))
+    """Published rows by scene, licence, source, difficulty and number of answer words."""
+    s = table(spark, d, "sentences").select("id", F.col("sub_scene_key").alias("scene_key"), "license_name", "source_name")
+    out = Q.distribution(s, "scene_key", table(spark, d, "sub_scenes"), "scene")
+    for column, name in (("license_name", "licence"), ("source_name", "source")):
+        out = out.unionByName(Q.distribution(s, column, s.filter(F.col(column).isNotNull()), name))
+    v = W.with_variants(_sentences(spark, d)).select(F.explode("variants").alias("v")).select("v.difficulty", F.col("v.answer_word_count").cast("string").alias("words"))
+    each = v.select(F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("key")) for c in ("difficulty", "words")])).alias("of"))
+    return out.unionByName(each.select("of.*").groupBy("dimension", "key").agg(F.count("*").alias("n")))
 
 
 _BLANK = {c: f"{S.sub(f"coalesce({c}, '')", T.SPACE, '')} = ''" for c in ("text", "translation_zh", "source_name", "license_name")}
@@ -311,6 +332,15 @@ def longest_streaks(spark: SparkSession, d: str) -> DataFrame:
     return G.longest_streaks(_log(spark, d))
 
 
+@query(
+    f"""WITH {_SQL_LOG}, a AS (SELECT question, action = 'correct' AS ok, sum(CASE WHEN action = 'wrong' THEN 1 ELSE 0 END) OVER (PARTITION BY question ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM log WHERE action IN ('correct', 'wrong')),
+g AS (SELECT question, island, count(*) FILTER (WHERE ok) AS n, count(*) AS c, count(*) FILTER (WHERE NOT ok) AS w FROM a GROUP BY ALL)
+SELECT question, CAST(sum(c) AS BIGINT) AS completed, CAST(sum(w) AS BIGINT) AS wrong, round((sum(c) - sum(w)) * 100.0 / sum(c), 1) AS accuracy, max(n) AS longest, ['easy', 'medium', 'hard'][least(3, max(n) // 5 + 1)] AS highest FROM g GROUP BY question"""
+)
+def session_stats(spark: SparkSession, d: str) -> DataFrame:
+    return G.session_stats(_log(spark, d))
+
+
 @query(f"WITH {_SQL_LOG} SELECT question, event_id, coalesce(lag(action, 1) OVER w = action, false) OR coalesce(lag(action, 2) OVER w = action, false) OR coalesce(lag(action, 3) OVER w = action, false) AS repeats FROM log WINDOW w AS (PARTITION BY question ORDER BY ts, event_id)")
 def recent_repeats(spark: SparkSession, d: str) -> DataFrame:
     return G.repeats_recent(_log(spark, d), "action").select("question", "event_id", "repeats")

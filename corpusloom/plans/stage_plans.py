@@ -11,9 +11,9 @@ from corpusloom.tables import table
 from .registry import query
 
 
-@query("SELECT 'raw' AS stage, count(*) AS n FROM raw_items UNION ALL SELECT 'rejected_' || stage, count(DISTINCT item_id) FROM rejections GROUP BY stage")
+@query("SELECT 'raw' AS stage, count(*) AS n FROM raw_items UNION ALL SELECT 'recalled', count(DISTINCT id) FROM candidates UNION ALL SELECT 'rejected_' || stage, count(DISTINCT item_id) FROM rejections GROUP BY stage")
 def stage_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stages.stage_counts(table(spark, d, "raw_items"), table(spark, d, "rejections"))
+    return stages.stage_counts(table(spark, d, "raw_items"), table(spark, d, "rejections"), {"recalled": table(spark, d, "candidates")})
 
 
 @query("SELECT stage, split_part(reason, ':', 1) AS kind, count(DISTINCT item_id) AS n FROM rejections GROUP BY ALL")
@@ -112,3 +112,40 @@ def provenance_gate(spark: SparkSession, d: str) -> DataFrame:
     blank = lambda c, *marks: F.coalesce(F.trim(c), F.lit("")).isin("", *marks)
     lacking = blank("source_name") | blank("source_item_id") | blank("source_author", "\\N") | blank("license_name") | ~F.coalesce(F.col("source_url").startswith("https://"), F.lit(False))
     return table(spark, d, "raw_items").filter(lacking).select("id")
+
+
+_SQL_OWN = "own AS (SELECT id, 'v' || (max(run_id) % 3) AS version, CASE WHEN bool_or(coalesce(protected, false)) THEN 'source_explicit' ELSE 'keyword' END AS method FROM candidates GROUP BY id)"
+
+
+def _own(spark: SparkSession, d: str) -> DataFrame:
+    """Results of a classify stage: the version of an item is made of its last run."""
+    method = F.when(F.bool_or(F.coalesce("protected", F.lit(False))), "source_explicit").otherwise("keyword")
+    return table(spark, d, "candidates").groupBy("id").agg(F.concat(F.lit("v"), F.max("run_id") % 3).alias("version"), method.alias("method"))
+
+
+@query(f"WITH {_SQL_OWN} SELECT id FROM raw_items WHERE id NOT IN (SELECT id FROM own WHERE version = 'v2' OR method = 'source_explicit') AND id NOT IN (SELECT item_id FROM rejections WHERE item_id IS NOT NULL)")
+def pending_versioned(spark: SparkSession, d: str) -> DataFrame:
+    """Items to classify by version v2 of the model: those of older versions are stale, unless a source decided them."""
+    return stages.pending(table(spark, d, "raw_items").select("id"), None, _own(spark, d), table(spark, d, "rejections"), version="v2", authoritative=("source_explicit",))
+
+
+@query(
+    """WITH o AS (SELECT source_name, source_item_id, arg_min(text, id) AS text, min(id) AS item_id FROM raw_items GROUP BY ALL), n AS (SELECT source_name, source_item_id, arg_max(text, id) AS text FROM raw_items WHERE id % 2 = 0 GROUP BY ALL),
+changed AS (SELECT item_id FROM o JOIN n USING (source_name, source_item_id) WHERE o.text IS DISTINCT FROM n.text) SELECT id AS item_id, run_id FROM candidates WHERE id NOT IN (SELECT item_id FROM changed)"""
+)
+def upsert_invalidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates that stay after a later delivery has changed the text of some items."""
+    keys = ["source_name", "source_item_id"]
+    items = table(spark, d, "raw_items")
+    old = items.groupBy(keys).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("item_id"))
+    new = items.filter("id % 2 = 0").groupBy(keys).agg(F.max_by("text", "id").alias("text"))
+    changed = stages.merge_items(old.drop("item_id"), new, keys, ["text"]).filter("action = 'update'").join(old.select(*keys, "item_id"), keys)
+    derived = {"candidates": table(spark, d, "candidates").select(F.col("id").alias("item_id"), "run_id")}
+    return stages.invalidated(derived, changed)["candidates"]
+
+
+@query("SELECT event_id, json_merge_patch(props, json_object('kind', event_type, 'k', value > 50)) AS props FROM events")
+def json_fields_set(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads with one field replaced and one added, as a migration of stored results does."""
+    fields = F.struct(F.col("event_type").alias("kind"), (F.col("value") > 50).alias("k"))
+    return table(spark, d, "events").select("event_id", stages.set_json_fields(F.col("props"), fields).alias("props"))

@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 import os
+import re
 import posixpath
 import shutil
 import stat
@@ -17,7 +18,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -66,11 +67,18 @@ def archive_members(spark: SparkSession, path: str, pattern: str = ".*") -> Data
     return files.mapInArrow(task, "archive string, member string, content string")
 
 
+def _parsed(column: str, schema: str) -> Column:
+    """JSON by a schema; text that is no such JSON is an error, as dropping it would leave an incomplete result."""
+    parsed = F.from_json(column, schema)
+    problem = F.concat(F.lit("malformed JSON: "), F.substring(column, 1, 80))
+    return F.when(F.col(column).isNotNull() & parsed.isNull(), F.raise_error(problem)).otherwise(parsed)
+
+
 def task_dialogues(members: DataFrame) -> DataFrame:
     """(item_id, speaker, text) of members that hold a JSON array of dialogues with turns; the split is the folder's name."""
     schema = "array<struct<dialogue_id: string, turns: array<struct<speaker: string, utterance: string>>>>"
     split = F.element_at(F.split("member", "/"), -2)
-    d = members.select(split.alias("split"), F.explode(F.from_json("content", schema)).alias("d"))
+    d = members.select(split.alias("split"), F.explode(_parsed("content", schema)).alias("d"))
     t = d.select("split", "d.dialogue_id", F.posexplode("d.turns").alias("n", "t"))
     return t.select(F.concat_ws(":", "split", "dialogue_id", F.lit("turn"), F.col("n").cast("string")).alias("item_id"), F.col("t.speaker").alias("speaker"), F.col("t.utterance").alias("text"))
 
@@ -78,28 +86,28 @@ def task_dialogues(members: DataFrame) -> DataFrame:
 def daily_dialogues(members: DataFrame) -> DataFrame:
     """(item_id, utt_idx, text) of a list of dialogues with numbered utterances."""
     schema = "array<struct<original_id: string, dialogue_id: string, turns: array<struct<utt_idx: int, utterance: string>>>>"
-    d = members.select(F.explode(F.from_json("content", schema)).alias("d"))
+    d = members.select(F.explode(_parsed("content", schema)).alias("d"))
     t = d.select(F.coalesce("d.original_id", "d.dialogue_id").alias("id"), F.explode("d.turns").alias("t"))
     return t.select(F.concat_ws(":", "id", F.col("t.utt_idx").cast("string")).alias("item_id"), "t.utt_idx", F.col("t.utterance").alias("text"))
 
 
 def intents(members: DataFrame) -> DataFrame:
     """(split, pos, text, intent) of a map of splits to lists of [text, intent]."""
-    d = members.select(F.explode(F.from_json("content", "map<string, array<array<string>>>")).alias("split", "rows"))
+    d = members.select(F.explode(_parsed("content", "map<string, array<array<string>>>")).alias("split", "rows"))
     return d.select("split", F.posexplode("rows").alias("pos", "r")).select("split", "pos", F.col("r")[0].alias("text"), F.col("r")[1].alias("intent"))
 
 
 def localised_intents(members: DataFrame, locale: str) -> DataFrame:
     """(id, scenario, intent, text, author) of JSON lines in one locale."""
     lines = members.select(F.explode(F.split("content", "\n")).alias("line")).filter("line <> ''")
-    r = F.from_json("line", "id string, locale string, scenario string, intent string, utt string, worker_id string")
+    r = _parsed("line", "id string, locale string, scenario string, intent string, utt string, worker_id string")
     return lines.select(r.alias("r")).filter(F.col("r.locale") == locale).select("r.id", "r.scenario", "r.intent", F.col("r.utt").alias("text"), F.col("r.worker_id").alias("author"))
 
 
 def schema_guided(members: DataFrame) -> DataFrame:
     """(split, dialogue_id, n, speaker, text, frames) of schema-guided dialogues, for ``unambiguous_service``."""
     schema = "array<struct<dialogue_id: string, turns: array<struct<speaker: string, utterance: string, frames: array<struct<service: string>>>>>>"
-    d = members.select(F.element_at(F.split("member", "/"), -2).alias("split"), F.explode(F.from_json("content", schema)).alias("d"))
+    d = members.select(F.element_at(F.split("member", "/"), -2).alias("split"), F.explode(_parsed("content", schema)).alias("d"))
     t = d.select("split", "d.dialogue_id", F.posexplode("d.turns").alias("n", "t"))
     return t.select("split", "dialogue_id", "n", F.col("t.speaker").alias("speaker"), F.col("t.utterance").alias("text"), F.col("t.frames").alias("frames"))
 
@@ -209,36 +217,47 @@ def write_json_atomic(path: str, payload: object) -> None:
 
 
 class Snapshots:
-    """Versions of a stage's table under one folder with a pointer to the current one.
+    """Versions of a stage's table under one folder of a local or mounted file system.
 
-    A version is written whole before the pointer is moved; the pointer moves only if it still is what the writer read
-    (compare and swap). Publishing a stage makes the versions of all later stages stale.
+    A version is written whole, then entered as the stage's next number. Entering creates a file that must not exist yet, so
+    of two writers that read the same version only one succeeds (compare and swap). An entry names the version of the stage
+    before that it was made from; if that stage has moved on since, the version is stale and no longer current.
     """
 
     def __init__(self, root: str, stages: tuple[str, ...]):
         self.root, self.stages = root, stages
         os.makedirs(root, exist_ok=True)
 
-    def _pointer(self, stage: str) -> str:
-        return os.path.join(self.root, f"{stage}.json")
+    def _entry(self, stage: str) -> tuple[int, dict]:
+        """(number, content) of the last entry; number 0 if there is none."""
+        numbers = [int(m.group(1)) for m in (re.fullmatch(rf"{re.escape(stage)}[.](\d+)[.]json", f) for f in os.listdir(self.root)) if m]
+        if not numbers:
+            return 0, {}
+        with open(os.path.join(self.root, f"{stage}.{max(numbers)}.json"), encoding="utf-8") as f:
+            return max(numbers), json.load(f)
 
     def generation(self, stage: str) -> str | None:
-        try:
-            with open(self._pointer(stage), encoding="utf-8") as f:
-                return json.load(f)["generation"]
-        except FileNotFoundError:
+        at = self.stages.index(stage)
+        entry = self._entry(stage)[1]
+        if not entry or (at and entry["after"] != self.generation(self.stages[at - 1])):
             return None
+        return entry["generation"]
 
     def publish(self, stage: str, table: DataFrame, *, expected: str | None, digest: str) -> str:
+        number, _ = self._entry(stage)
         if self.generation(stage) != expected:
             raise RuntimeError(f"{stage} has changed since it was read")
+        at = self.stages.index(stage)
+        entry = {"generation": digest, "after": self.generation(self.stages[at - 1]) if at else None}
         table.write.mode("overwrite").parquet(os.path.join(self.root, stage, digest))
-        if self.generation(stage) != expected:
-            raise RuntimeError(f"{stage} has changed while it was written")
-        write_json_atomic(self._pointer(stage), {"generation": digest})
-        for later in self.stages[self.stages.index(stage) + 1 :]:
-            if os.path.exists(self._pointer(later)):
-                os.remove(self._pointer(later))
+        new = os.path.join(self.root, f".{stage}.{digest}.{os.getpid()}.tmp")
+        write_json_atomic(new, entry)
+        try:
+            os.link(new, os.path.join(self.root, f"{stage}.{number + 1}.json"))  # fails if another writer was first
+        except FileExistsError:
+            raise RuntimeError(f"{stage} has changed while it was written") from None
+        finally:
+            os.remove(new)
         return digest
 
     def read(self, spark: SparkSession, stage: str) -> DataFrame:

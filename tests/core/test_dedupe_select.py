@@ -114,6 +114,31 @@ def test_assignment_of_a_whole_quota_takes_seconds():
     assert max(Counter(rows[i][0] for i in got).values()) <= 810 and max(Counter(rows[i][1] for i in got if rows[i][1]).values()) <= 144
 
 
+def made_pool(spark):
+    r = random.Random(4)
+    rows = [(sc, i, f"src{int(4 * r.random() ** 2)}", f"a{r.randrange(6)}" if r.random() < 0.7 else "", round(r.random(), 1), r.random() < 0.03, f"h{r.randrange(9)}", 12) for sc in "xy" for i in range(120)]
+    return spark.createDataFrame(rows, "scene string, id bigint, source_name string, source_author string, confidence double, protected boolean, tie_hash string, quota bigint")
+
+
+def test_unbounded_and_remaining_selection(spark):
+    pool = made_pool(spark)
+    rows = {k: {(x["scene"], x["id"]) for x in P.select_quotas(pool, bounded=b).collect()} for k, b in (("kernel", True), ("whole", False))}
+    cost = lambda got: sorted(pool.filter("NOT protected").join(spark.createDataFrame(sorted(got), "scene string, id bigint"), ["scene", "id"]).groupBy("scene").agg(F.sum("confidence"), F.count("*")).collect())
+    assert rows["kernel"] == rows["whole"] and cost(rows["kernel"])
+    held = spark.createDataFrame(sorted(rows["kernel"])[:7], "scene string, id bigint")
+    added = P.select_remaining(pool.withColumn("protected", F.lit(False)), held)
+    got = {(x["scene"], x["id"]) for x in added.collect()}
+    assert got and not got & set(sorted(rows["kernel"])[:7]) and max(Counter(s for s, _ in got | set(sorted(rows["kernel"])[:7])).values()) <= 12
+
+
+def test_selection_needs_variants_and_names_conflicts(spark):
+    pool = made_pool(spark).filter("scene = 'x'")
+    texts = pool.select("id", F.when(F.col("id") % 2 == 0, "The famous station stands near the old harbour.").otherwise("No.").alias("text"))
+    assert all(r["id"] % 2 == 0 for r in P.select_checked(pool.withColumn("protected", F.lit(False)), texts).collect())
+    with pytest.raises(P.ConflictError, match="x: quota"):
+        P.select_checked(pool.withColumn("protected", F.lit(True)), texts)
+
+
 def test_shortages_are_all_listed(spark):
     pool = spark.createDataFrame([("a", 3), ("b", 2)], "scene string, quota int")
     report = P.shortages(pool, spark.createDataFrame([("a", 1), ("b", 1), ("b", 2)], "scene string, id int"))

@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import cli
 from corpusloom.operators import exchange as X
 from corpusloom.operators import publish as B
+from corpusloom.operators import review, stages
 
 
 @pytest.mark.parametrize("bad,problem", [('{"a": 1, "a": 2, "b": "x"}', "repeated key|no JSON object"), ('{"a": 1}', "other fields"), ('{"a": 1, "b": "x", "c": 2}', "other fields"), ("[1]", "no JSON object"), ('{"a": "q", "b": "x"}', "bad a"), ("{a", "no JSON object")])
@@ -41,8 +44,8 @@ def test_store_round_trip(spark):
 
 
 def test_curation_skips_near_duplicates(spark):
-    text = "the quick brown fox jumps over a lazy sleeping dog near the river bank every single morning"
-    rows = spark.createDataFrame([("c", 1, text), ("c", 2, text.upper()), ("c", 3, "a completely different sentence about trains"), ("d", 4, "one more about boats and the sea")], "category string, id int, text string")
+    text = "the quick brown fox jumps over a lazy sleeping dog near the river bank every single morning."
+    rows = spark.createDataFrame([("c", 1, text), ("c", 2, text.upper()), ("c", 3, "A completely different sentence about trains."), ("d", 4, "One more about boats and the sea.")], "category string, id int, text string")
     got = B.curate(rows, quota=2).collect()
     assert len(got) == 3 and len({r["id"] for r in got} & {1, 2}) == 1
 
@@ -57,3 +60,39 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["queries"], spark) == 0 and "quality_gate" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["recall", "--input", "x", "--prototypes", "y", "--output", "z", "--top-k", "501"], spark)
+
+
+def test_versions_checkpoints_and_review(spark):
+    items = spark.range(6)
+    own = spark.createDataFrame([(1, "v1", "keyword"), (2, "v2", "keyword"), (3, "v1", "source_explicit"), (4, None, None)], "id bigint, version string, method string")
+    gone = spark.createDataFrame([(5,)], "item_id bigint")
+    ask = lambda **k: sorted(r["id"] for r in stages.pending(items, None, own, gone, **k).collect())
+    assert ask() == [0] and ask(version="v2", authoritative=("source_explicit",)) == [0, 1, 4] and ask(version="v2") == [0, 1, 3, 4]
+    done = lambda *rows: spark.createDataFrame(list(rows), "item_id bigint, value string")
+    lost = lambda *rows: spark.createDataFrame(list(rows), "item_id bigint, stage string, reason string")
+    eligible = spark.createDataFrame([(1,), (2,), (3,)], "item_id bigint")
+    stage, rejections = stages.checkpointed(done((1, "old"), (9, "kept")), done((1, "new"), (2, "new")), lost((8, "s", "x")), lost((3, "s", "y")), eligible)
+    assert sorted(map(tuple, stage.collect())) == [(1, "new"), (2, "new"), (9, "kept")] and sorted(r["item_id"] for r in rejections.collect()) == [3, 8]
+    for results, rejected in ((done((7, "x")), lost()), (done((1, "x")), lost((1, "s", "y")))):
+        with pytest.raises(ValueError, match="may not write"):
+            stages.checkpointed(done(), results, lost(), rejected, eligible)
+    classified = spark.createDataFrame([(1, None, "none"), (2, "a", "source")], "id bigint, scene string, method string")
+    outcomes = spark.createDataFrame([(1, "b", "applied"), (2, "c", "conflict"), (None, "c", "unmatched")], "id bigint, scene string, outcome string")
+    later = {"translate": done((1, "x"), (2, "y"))}
+    after, left = review.apply_decisions(classified, outcomes, later)
+    assert sorted(map(tuple, after.collect())) == [(1, "b", "review"), (2, "a", "source")] and [r["item_id"] for r in left["translate"].collect()] == [2]
+
+
+def test_json_fields_keep_types_and_nulls(spark):
+    df = spark.createDataFrame([('{"a": 1, "b": null, "c": [1, {"x": "y"}]}',), (None,), ("{}",)], "p string")
+    got = [r[0] for r in df.select(stages.set_json_fields(F.col("p"), F.struct(F.lit("m").alias("method"), F.lit(2).alias("a")))).collect()]
+    assert [g and json.loads(g) for g in got] == [{"b": None, "c": [1, {"x": "y"}], "method": "m", "a": 2}, None, {"method": "m", "a": 2}]
+
+
+def test_curation_gates_and_needs_variants(spark):
+    good = [f"The {a} station stands near the {b} harbour today." for a in ("famous", "quiet") for b in ("northern", "southern", "eastern")]
+    rows = [("b", i, t) for i, t in enumerate(good)] + [("a", 10 + i, t) for i, t in enumerate(good[:2])] + [("a", 20, "No."), ("b", 21, "unfinished sentence without an end mark here"), ("b", 22, good[0])]
+    got = B.curate(spark.createDataFrame(rows, "category string, id bigint, text string"), quota=2).collect()
+    assert all(r["id"] < 20 for r in got) and len({r["text"] for r in got}) == len(got) and {r["category"] for r in got} <= {"a", "b"}
+    hashes = {c: [r["hash"] for r in sorted(got, key=lambda r: r["place"]) if r["category"] == c] for c in "ab"}
+    assert all(h == sorted(h) for h in hashes.values()) and hashes["a"]

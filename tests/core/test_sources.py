@@ -148,6 +148,12 @@ def test_locks_and_snapshots(spark, tmp_path):
         store.publish("select", df, expected=None, digest="g2")
     store.publish("select", df.filter("id > 0"), expected="g1", digest="g2")
     assert store.read(spark, "select").count() == 2
+    first, second = A.Snapshots(str(tmp_path / "race"), ("select",)), A.Snapshots(str(tmp_path / "race"), ("select",))
+    number = first._entry
+    first._entry = lambda stage: (second.publish("select", df, expected=None, digest="other"), number(stage))[1] if not number(stage)[0] else (0, {})
+    with pytest.raises(RuntimeError):  # the other writer came between reading and entering
+        first.publish("select", df, expected="other", digest="late")
+    assert second.generation("select") == "other"
     with pytest.raises(LookupError):
         store.read(spark, "translate")
     a, b, place = put(tmp_path / "n1", "new"), str(tmp_path / "gone"), put(tmp_path / "p1", "old")
@@ -176,3 +182,15 @@ def test_legacy_and_science(spark, tmp_path):
     with pytest.raises(ValueError):
         R.science_questions(spark, str(tmp_path / "s2")) if spark.range(1).write.parquet(str(tmp_path / "s2")) is None else None
     assert F.lit(1) is not None
+
+
+def test_malformed_members_are_errors(spark):
+    members = spark.createDataFrame([("d/train/dialogues_1.json", "{not json")], "member string, content string")
+    for read in (A.task_dialogues, A.daily_dialogues, A.intents, A.schema_guided):
+        with pytest.raises(Exception, match="malformed JSON"):
+            read(members).collect()
+
+
+def test_speakers_in_any_case(spark):
+    df = spark.createDataFrame([("DOCTOR: Hello. Patient: Hi there. physician: Sit. P: Yes. D : Good. Guest_family: We came.",)], "dialogue string")
+    assert [r["speaker"] for r in R.speaker_turns(df).collect()] == ["DOCTOR", "Patient", "physician", "P", "D", "Guest_family"]
