@@ -9,7 +9,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import classify as C
 from corpusloom.operators import dedupe as D
 from corpusloom.operators import select as P
-from corpusloom.tables import broadcast_if_small, table
+from corpusloom.tables import broadcast_if_small, cut_lineage, table
 
 from . import sqltext as S
 from .registry import query
@@ -49,7 +49,7 @@ def simhash_bands(spark: SparkSession, d: str) -> DataFrame:
 SELECT id_l, id_r FROM p JOIN texts a ON a.id = id_l JOIN texts b ON b.id = id_r WHERE len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)) >= 0.76"""
 )
 def near_dup_edges(spark: SparkSession, d: str) -> DataFrame:
-    return D.near_edges(distinct_texts(spark, d, "sha256"))
+    return D.near_edges(cut_lineage(distinct_texts(spark, d, "sha256")))  # fingerprints are made once
 
 
 @query(
