@@ -11,6 +11,7 @@ from corpusloom.operators import publish as B
 from corpusloom.tables import table
 
 from . import sqltext as S
+from .recall_plans import sql_variants
 from .registry import query
 from .selection_plans import _SQL_POOL, selection_pool
 
@@ -108,11 +109,14 @@ def publish_ids(spark: SparkSession, d: str) -> DataFrame:
     return B.allocate_ids(rows).select("id", "stable_id", "random_key")
 
 
-@query()
+_SQL_STORE = f"""SELECT 's_' || substr(h, 1, CASE WHEN count(*) OVER (PARTITION BY substr(h, 1, 16)) > 1 THEN 24 ELSE 16 END) AS id, t FROM (SELECT h, min(c) AS t FROM (SELECT {S.clean('text')} AS c, sha256(lower({S.clean('text')})) AS h FROM sentences) GROUP BY h)"""
+
+
+@query(f"SELECT id || '-' || difficulty AS id, id AS sentence_id, * EXCLUDE (id, alias) FROM ({sql_variants(_SQL_STORE)})")
 def published_variants(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of the store that the sentences make."""
-    rows = B.allocate_ids(table(spark, d, "sentences").select(T.clean(F.col("text")).alias("text"))).dropDuplicates(["normalized_hash"])
-    return B.question_store(rows)["question_variants"]
+    """Questions of the store that the sentences make; of texts that differ in case alone the least is published."""
+    texts = table(spark, d, "sentences").select(T.clean(F.col("text")).alias("text")).groupBy(T.normalized_hash(F.col("text")).alias("h")).agg(F.min("text").alias("text"))
+    return B.question_store(B.allocate_ids(texts.select("text")))["question_variants"]
 
 
 @query()

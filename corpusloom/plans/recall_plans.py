@@ -181,7 +181,11 @@ def _sentences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sentences").select("id", T.clean(F.col("text")).alias("text"))
 
 
-def _sql_variants() -> str:
+_SQL_OF_SENTENCES = f"SELECT id, max({S.clean('text')}) AS t FROM sentences GROUP BY id"
+
+
+def sql_variants(texts: str = _SQL_OF_SENTENCES) -> str:
+    """Variants of the texts of a query of (id, t)."""
     listed = lambda ws: ", ".join(map(S.lit, sorted(ws)))
     points = f"least({6 * W.UNIT}, {W.UNIT * 3 // 2} + length(w) * {W.UNIT * 17 // 100} + CASE WHEN regexp_matches(w, '({'|'.join(W.HARD_ENDINGS)})$') THEN {W.UNIT * 6 // 10} ELSE 0 END)"
     runs = "\nUNION ALL ".join(
@@ -193,7 +197,7 @@ def _sql_variants() -> str:
     picks = ", ".join(
         f"""left{i} AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY points, s, e) - 1 AS place, count(*) OVER (PARTITION BY id) AS n FROM {'span' if i == 1 else f'(SELECT x.* EXCLUDE (place, n) FROM left{i - 1} x JOIN pick{i - 1} y USING (id) WHERE x.said <> y.said)'}),
 pick{i} AS (SELECT * FROM left{i} WHERE place = CAST(round_even((n - 1) * {share}, 0) AS INT))""" for i, (_, share) in enumerate(W.LEVELS, 1))
-    return f"""WITH txt AS (SELECT id, max({S.clean('text')}) AS t FROM sentences GROUP BY id), raw AS (SELECT id, t, regexp_extract_all(t, {S.lit(T.WORD)}) AS ws, string_split_regex(t, {S.lit(T.WORD)}) AS gs FROM txt),
+    return f"""WITH txt AS ({texts}), raw AS (SELECT id, t, regexp_extract_all(t, {S.lit(T.WORD)}) AS ws, string_split_regex(t, {S.lit(T.WORD)}) AS gs FROM txt),
 ex AS (SELECT id, t, unnest(ws) AS w0, unnest(gs[1:len(ws)]) AS g, unnest(range(len(ws))) AS i FROM raw), pos AS (SELECT *, sum(length(w0) + length(g)) OVER (PARTITION BY id ORDER BY i) AS e, lower(w0) AS w FROM ex),
 tok AS (SELECT id, t, i, w, e - length(w0) AS s, e, {points} AS p, w IN ({listed(W.STOP_WORDS)}) AS stop, regexp_matches(g, {S.lit(W.BETWEEN)}) AS cont FROM pos),
 runs AS (SELECT id, i, 1 AS words, s, e, p AS points, false AS known FROM tok WHERE NOT stop AND length(w) >= 3 UNION ALL {runs}),
@@ -206,14 +210,14 @@ SELECT id, ['easy', 'medium', 'hard'][o + 1] AS difficulty, CAST(s AS INT) AS an
 (max((points * 50 + 3) // 6 - o) OVER (PARTITION BY id ORDER BY o) + o) / 10000.0 AS difficulty_score, CASE WHEN known THEN 'set phrase' WHEN words = 1 THEN 'word' ELSE words || ' words' END AS rationale, coalesce(alias, '') AS alias FROM ordered WHERE c = 3"""
 
 
-@query(_sql_variants())
+@query(sql_variants())
 def variants(spark: SparkSession, d: str) -> DataFrame:
     """Three gaps of every sentence, one row each."""
     made = W.with_variants(_sentences(spark, d)).select("id", F.explode("variants").alias("v")).select("id", "v.*")
     return made.withColumn("alias", F.array_join("aliases", "|")).drop("aliases")
 
 
-@query(f"WITH v AS ({_sql_variants()}) SELECT difficulty, count(*) AS variants, count(*) FILTER (WHERE alias <> '') AS aliased, CAST(0 AS BIGINT) AS broken FROM v GROUP BY difficulty")
+@query(f"WITH v AS ({sql_variants()}) SELECT difficulty, count(*) AS variants, count(*) FILTER (WHERE alias <> '') AS aliased, CAST(0 AS BIGINT) AS broken FROM v GROUP BY difficulty")
 def variant_violations(spark: SparkSession, d: str) -> DataFrame:
     """Variants by difficulty, and how many of them are in a set that breaks a rule: none may."""
     texts = _sentences(spark, d)
@@ -250,7 +254,7 @@ def ordered_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH v AS ({_sql_variants()}) SELECT 'scene' AS dimension, scene_key AS key, count(s.id) AS n FROM sub_scenes d LEFT JOIN sentences s ON s.sub_scene_key = d.scene_key GROUP BY scene_key UNION ALL
+    f"""WITH v AS ({sql_variants()}) SELECT 'scene' AS dimension, scene_key AS key, count(s.id) AS n FROM sub_scenes d LEFT JOIN sentences s ON s.sub_scene_key = d.scene_key GROUP BY scene_key UNION ALL
 SELECT 'licence', license_name, count(*) FROM sentences WHERE license_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'source', source_name, count(*) FROM sentences WHERE source_name IS NOT NULL GROUP BY 2 UNION ALL
 SELECT 'difficulty', difficulty, count(*) FROM v GROUP BY 2 UNION ALL SELECT 'words', CAST(answer_word_count AS VARCHAR), count(*) FROM v GROUP BY 2"""
 )

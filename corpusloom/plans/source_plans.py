@@ -24,7 +24,15 @@ def dialogue_turns(spark: SparkSession, d: str) -> DataFrame:
     return R.speaker_turns(docs).select("doc_id", "turn", "speaker", "utterance")
 
 
-@query()
+def _sql_visible(x: str) -> str:
+    """Visible prose by patterns: elements that are no prose go whole, outermost kinds first, then tags."""
+    for tag in ("script", "style", "blockquote", "ul", "ol", "pre", "code", "li", "a"):
+        x = S.sub(x, rf"(?is)<{tag}([ \t\n][^>]*)?>.*?</{tag}[ \t\n]*>", "")
+    x = S.sub(x, rf"(?i)</?({'|'.join(R._BLOCKS)})([ \t\n/][^>]*)?>", " ")
+    return S.collapse(S.unescape(S.sub(x, "</?[A-Za-z][^>]*>", "")))
+
+
+@query(f"SELECT doc_id, coalesce({_sql_visible('text')}, CASE WHEN text IS NULL THEN NULL ELSE '' END) AS text FROM documents WHERE doc_kind = 'forum'")
 def html_visible_text(spark: SparkSession, d: str) -> DataFrame:
     """Visible prose of the forum posts; the parser is tested on fixtures."""
     posts = table(spark, d, "documents").filter("doc_kind = 'forum'").select("doc_id", "text")
