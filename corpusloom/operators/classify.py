@@ -50,17 +50,42 @@ def scene_scores(found: DataFrame) -> DataFrame:
     return strong.withColumn("score", 2.0 * (F.col("keywords") + F.col("phrases")))
 
 
+def signals(found: DataFrame) -> DataFrame:
+    """(id, strong, context, single): what a text's evidence says, from one aggregation by text.
+
+    ``strong`` lists the scenes with keywords or phrases, best first, as (minus score, scene, keywords, phrases); ``context``
+    those with context words, most first, as (minus count, scene); ``single`` is the scene of the only sufficient word, if
+    there is just one and no blocked or strong evidence speaks against it. A text's list is bounded by the lexicon.
+    """
+    lists = found.groupBy("id").agg(F.collect_list(F.struct("scene", "kind")).alias("_f"))
+    n = lambda scene, kind: F.size(F.filter("_f", lambda x: (x["scene"] == scene) & (x["kind"] == kind)))
+    scenes = F.array_distinct(F.transform("_f", lambda x: x["scene"]))
+    counted = lists.withColumn("_s", F.transform(scenes, lambda c: F.struct(c.alias("scene"), *(n(c, k).alias(k) for k in ("keyword", "phrase", "context", "single", "blocked")))))
+    strong = F.transform(F.filter("_s", lambda x: x["keyword"] + x["phrase"] > 0), lambda x: F.struct((-2.0 * (x["keyword"] + x["phrase"])).alias("minus"), x["scene"], x["keyword"], x["phrase"]))
+    context = F.transform(F.filter("_s", lambda x: x["context"] > 0), lambda x: F.struct((-x["context"]).alias("minus"), x["scene"]))
+    sole = F.filter("_s", lambda x: x["single"] > 0)
+    counted = counted.select("id", F.sort_array(strong).alias("strong"), F.sort_array(context).alias("context"), F.when((F.size(sole) == 1) & (F.get(sole, F.lit(0))["single"] == 1) & (F.get(sole, F.lit(0))["blocked"] == 0), F.get(sole, F.lit(0))["scene"]).alias("_sole"))
+    against = F.exists("strong", lambda x: (x["scene"] != F.col("_sole")) | (x["phrase"] > 0))
+    return counted.select("id", "strong", "context", F.when(~against, F.col("_sole")).alias("single"))
+
+
+def _keyword_class(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``k_scene`` and ``k_conf`` by their strong evidence: the best scene is qualified by two keywords or a
+    phrase and a lead of 0.75. Ties go to the smaller scene key."""
+    rows = rows.withColumns({"_best": F.try_element_at("strong", F.lit(1)), "_next": F.try_element_at("strong", F.lit(2))})
+    score = -F.coalesce(F.col("_best.minus"), F.lit(0.0))
+    rows = rows.withColumns({"_score": score, "_margin": score + F.coalesce(F.col("_next.minus"), F.lit(0.0))})
+    qualified = F.coalesce((F.col("_best.phrase") > 0) | (F.col("_best.keyword") >= 2), F.lit(False)) & (F.col("_score") >= 2) & (F.col("_margin") >= 0.75)
+    confidence = F.least(F.lit(1.0), (F.col("_score") + F.col("_margin")) / 6.0)
+    return rows.withColumns({"k_scene": F.when(qualified, F.col("_best.scene")), "k_conf": confidence})
+
+
 def classify(items: DataFrame, terms: DataFrame, *, text: str = "text", found: DataFrame | None = None) -> DataFrame:
-    """(id, scene, confidence, method): ``keyword`` if the best scene is qualified by two keywords or a phrase and leads
-    by 0.75, else ``llm_required``. Ties go to the smaller scene key."""
-    scores = scene_scores(found if found is not None else evidence(items, terms, text=text))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "scene")
-    ranked = scores.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)}).filter("n = 1")
-    all_ = items.select("id").join(ranked, "id", "left")
-    score, margin = F.coalesce("score", F.lit(0.0)), F.coalesce("score", F.lit(0.0)) - F.coalesce("next", F.lit(0.0))
-    qualified = F.coalesce((F.col("phrases") > 0) | (F.col("keywords") >= 2), F.lit(False)) & (score >= 2) & (margin >= 0.75)
-    confidence = F.least(F.lit(1.0), (score + margin) / 6.0)
-    return all_.select("id", F.when(qualified, F.col("scene")).alias("scene"), confidence.alias("confidence"), F.when(qualified, "keyword").otherwise("llm_required").alias("method"))
+    """(id, scene, confidence, method): ``keyword`` if strong evidence qualifies a scene, else ``llm_required``."""
+    of = signals(found if found is not None else evidence(items, terms, text=text))
+    rows = _keyword_class(items.select("id").join(of, "id", "left"))
+    method = F.when(F.col("k_scene").isNotNull(), "keyword").otherwise("llm_required")
+    return rows.select("id", F.col("k_scene").alias("scene"), F.col("k_conf").alias("confidence"), method.alias("method"))
 
 
 def classify_candidates(items: DataFrame, terms: DataFrame, scenes: DataFrame, *, text: str = "text", source_scenes: dict[str, str] | None = None) -> DataFrame:
@@ -69,21 +94,13 @@ def classify_candidates(items: DataFrame, terms: DataFrame, scenes: DataFrame, *
 
     ``items`` has id, text, source_name, top_scene, sub_scene, protected; ``scenes`` has scene_key and top_key.
     """
-    found = evidence(items, terms, text=text)
-    plain = classify(items, terms, found=found).toDF("id", "k_scene", "k_conf", "k_method")
-    context = found.filter("kind = 'context'").groupBy("id", "scene").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("id").orderBy(F.desc("c"), "scene")
-    context = context.withColumns({"n": F.row_number().over(w), "next": F.coalesce(F.lead("c").over(w), F.lit(0))}).filter("n = 1 AND c >= 2 AND c > next")
-    context = context.select("id", F.col("scene").alias("c_scene"), F.least(F.lit(0.85), 0.5 + 0.05 * F.col("c")).alias("c_conf"))
-    single = found.filter("kind = 'single'").groupBy("id").agg(F.min("scene").alias("s_scene"), F.count("*").alias("hits"))
-    strong = scene_scores(found).select("id", F.col("scene").alias("other"), "phrases")
-    blocked = found.filter("kind = 'blocked'").select("id", F.col("scene").alias("s_scene"))
-    single = single.filter("hits = 1").join(blocked, ["id", "s_scene"], "left_anti")
-    against = single.join(strong, "id").filter("other <> s_scene OR phrases > 0").select("id")
-    single = single.join(against, "id", "left_anti").select("id", "s_scene")
     given = broadcast_if_small(scenes.select(F.col("scene_key").alias("sub_scene"), F.col("top_key").alias("g_top")))
     every = items.select("id", "source_name", "top_scene", "sub_scene", "protected").join(given, "sub_scene", "left")
-    every = every.join(plain, "id").join(context, "id", "left").join(single, "id", "left")
+    every = _keyword_class(every.join(signals(evidence(items, terms, text=text)), "id", "left"))
+    first, second = F.try_element_at("context", F.lit(1)), F.try_element_at("context", F.lit(2))
+    every = every.withColumns({"_c": first, "_c2": F.coalesce(second["minus"], F.lit(0))})
+    clear = (F.col("_c.minus") <= -2) & (F.col("_c.minus") < F.col("_c2"))
+    every = every.withColumns({"c_scene": F.when(clear, F.col("_c.scene")), "c_conf": F.least(F.lit(0.85), 0.5 - 0.05 * F.col("_c.minus"))})
     default = F.lit(None).cast("string")
     for source, scene in (source_scenes or {}).items():
         default = F.when(F.col("source_name") == source, scene).otherwise(default)
@@ -92,10 +109,10 @@ def classify_candidates(items: DataFrame, terms: DataFrame, scenes: DataFrame, *
     cases = [
         (explicit, F.col("sub_scene"), F.lit(1.0), "source_explicit"),
         (F.coalesce("protected", F.lit(False)), F.lit(None), F.col("k_conf"), "llm_required"),
-        (F.col("k_method") == "keyword", F.col("k_scene"), F.col("k_conf"), "keyword"),
+        (F.col("k_scene").isNotNull(), F.col("k_scene"), F.col("k_conf"), "keyword"),
         (F.col("c_scene").isNotNull(), F.col("c_scene"), F.col("c_conf"), "context_keywords"),
         (F.col("d_scene").isNotNull(), F.col("d_scene"), F.lit(0.45), "candidate_source"),
-        (F.col("s_scene").isNotNull(), F.col("s_scene"), F.lit(0.51), "single_keyword_whitelist"),
+        (F.col("single").isNotNull(), F.col("single"), F.lit(0.51), "single_keyword_whitelist"),
     ]
     scene = confidence = method = None
     for condition, s, c, m in cases:

@@ -291,7 +291,7 @@ def labelled(rows: DataFrame, keys: list[str], allowed: DataFrame) -> DataFrame:
 def unambiguous_service(turns: DataFrame) -> DataFrame:
     """Turns with the one service that all their frames name; others are dropped."""
     services = F.array_distinct(F.transform("frames", lambda f: f["service"]))
-    return turns.withColumn("service", F.when(F.size(services) == 1, services[0])).filter(F.col("service").isNotNull())
+    return turns.withColumn("service", F.when(F.size(services) == 1, F.get(services, F.lit(0)))).filter(F.col("service").isNotNull())
 
 
 def legacy_import(old: DataFrame, *, protected: bool = True) -> DataFrame:
