@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.tables import broadcast_if_small, with_places
+from corpusloom.functions import text as T
+from corpusloom.tables import broadcast_if_small, cut_lineage, with_places
 
 MAX_LINE = 1 << 20
 
@@ -58,6 +59,43 @@ def payload_problems(rows: DataFrame, scenes: DataFrame) -> DataFrame:
     return j.select("id", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
+def translation_problems(rows: DataFrame) -> DataFrame:
+    """(id, problem): finished translations that break a rule: text present, no issues left, a review note or nothing where
+    they were repaired. ``rows``: id, translation_zh, issues, review_note, repaired."""
+    blank = lambda c: T.collapse(F.coalesce(F.col(c), F.lit(""))) == ""
+    problem = F.when(blank("translation_zh"), "no translation").when(F.coalesce(F.size("issues"), F.lit(0)) > 0, "open issues").when(F.col("repaired") & blank("review_note"), "no review note")
+    return rows.select("id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
+#: What a decision on a class holds, as it is exchanged: both scenes or none.
+DECISION = {"item_id": "bigint", "top_scene": "string", "sub_scene": "string", "reason": "string"}
+
+
+def export_requests(rows: DataFrame, folder: str, *, family: str, most_rows: int = 500) -> DataFrame:
+    """Writes requests as JSON lines, one folder a family and chunk, of at most ``most_rows`` rows each; what was written.
+    ``rows`` has item_id, the family's column and whatever a reviewer needs."""
+    line = rows.select("item_id", F.col(family).alias("family"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    parts = chunks(line, "family", "item_id", "value", most_rows=most_rows).select("family", "chunk", "item_id", "value")
+    parts = cut_lineage(parts)
+    parts.select("family", "chunk", "value").repartition("family", "chunk").write.partitionBy("family", "chunk").text(folder)
+    return parts.select("family", "chunk", "item_id")
+
+
+def import_decisions(spark: SparkSession, path: str, requested: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The decisions of result files, read strictly. All requests must be answered once, nothing else, by known scenes with
+    their own top scene or by none; otherwise it is an error that names the first problems, and nothing is imported."""
+    rows = cut_lineage(read_strict(spark, path, DECISION))
+    n = rows.groupBy("item_id").agg(F.count("*").alias("n"))
+    both = requested.select("item_id").distinct().withColumn("asked", F.lit(True)).join(n, "item_id", "full_outer")
+    covered = both.select("item_id", F.when(F.col("n").isNull(), "missing").when(F.col("asked").isNull(), "unexpected").when(F.col("n") > 1, "repeated").alias("problem"))
+    classes = payload_problems(rows.withColumns({"id": F.col("item_id"), "confidence": F.lit(1.0)}), scenes).withColumnRenamed("id", "item_id")
+    reasons = rows.filter(F.trim(F.coalesce("reason", F.lit(""))) == "").select("item_id", F.lit("no reason").alias("problem"))
+    wrong = covered.filter("problem IS NOT NULL").unionByName(classes).unionByName(reasons).orderBy("item_id", "problem").limit(10).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r['item_id']}: {r['problem']}" for r in wrong))
+    return rows
+
+
 def with_capacity(rows: DataFrame, used: DataFrame, *, source_limit: int, author_limit: int) -> DataFrame:
     """Rows whose source and named author still have room: ``used`` lists what is selected already."""
     s = used.groupBy("source_name").agg(F.count("*").alias("_s"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,34 @@ def _top_k_in_blocks(pool: DataFrame, prototypes: DataFrame, k: int, exclude: Da
     return merged.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
+def recall_in_parts(pool: DataFrame, prototypes: DataFrame, k: int, folder: str, *, model: str, part_rows: int = 1_000_000) -> DataFrame:
+    """``vector_top_k`` over parts of the pool, each kept in ``folder``, so that a run that was broken off goes on with the
+    parts that are missing. The folder belongs to one model, prototypes and k; another is an error. Parts are made of
+    identifiers by a hash, so a part is the same in every run; their k best are merged at the end."""
+    spark = pool.sparkSession
+    total = pool.count()
+    parts = max(1, -(-total // part_rows))
+    facts = {"model": model, "k": k, "parts": parts, "rows": total, "prototypes": prototypes.agg(F.coalesce(F.sum(F.xxhash64("label", "embedding").cast("decimal(38,0)")), F.lit(0)).cast("string")).first()[0]}
+    about = f"{folder}/about"
+    try:
+        known = json.loads(spark.read.text(about).first()[0])
+    except AnalysisException:  # the first run
+        known = None
+        spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "value string").coalesce(1).write.text(about)
+    if known is not None and known != facts:
+        raise ValueError(f"{folder} holds a recall of {known}, not of {facts}")
+    for i in range(parts):
+        place = f"{folder}/part={i}"
+        try:
+            spark.read.parquet(place)
+        except AnalysisException:  # missing, or broken off before it was whole
+            part = pool.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == i)
+            vector_top_k(part, prototypes, k).select("label", "vec_id", "similarity").write.mode("overwrite").parquet(place)
+    merged = spark.read.parquet(*[f"{folder}/part={i}" for i in range(parts)])
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("similarity"), "vec_id"))
+    return merged.select("label", "vec_id", "similarity").withColumn("rank", place).filter(F.col("rank") <= k)
+
+
 def within_capacity(pool: DataFrame, prototypes: DataFrame, top_k: int, *, source_room: dict[str, int], author_room: dict[str, int], exclude: DataFrame | None = None) -> DataFrame:
     """(label, vec_id, similarity): per label up to ``top_k`` vectors, the most similar ones that fit the room their
     source and author have left; names without an entry have none, blank authors need none.

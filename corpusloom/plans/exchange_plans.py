@@ -124,3 +124,12 @@ def curated_items(spark: SparkSession, d: str) -> DataFrame:
     """A balanced curation: ten items of each scene, near-duplicates skipped."""
     rows = table(spark, d, "raw_items").filter("sub_scene IS NOT NULL AND text IS NOT NULL").select(F.col("sub_scene").alias("category"), "id", "text")
     return B.curate(rows, quota=10).select("category", "id", "place")
+
+
+@query(
+    f"""SELECT id, CASE WHEN {S.collapse("coalesce(translation_zh, '')")} = '' THEN 'no translation' WHEN random_key % 3 = 0 AND {S.collapse("coalesce(source_author, '')")} = '' THEN 'no review note' END AS problem FROM sentences WHERE problem IS NOT NULL"""
+)
+def translation_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Translations that may not be published; those with keys divisible by three count as repaired, the author as its note."""
+    rows = table(spark, d, "sentences").select("id", "translation_zh", F.array().cast("array<string>").alias("issues"), F.col("source_author").alias("review_note"), (F.col("random_key") % 3 == 0).alias("repaired"))
+    return X.translation_problems(rows)

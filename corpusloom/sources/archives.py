@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.tables import broadcast_if_small
+
 
 def safe_member(name: str) -> str:
     """The name of a member, or an error if it would leave the archive's folder."""
@@ -112,6 +114,23 @@ def schema_guided(members: DataFrame) -> DataFrame:
     return t.select("split", "dialogue_id", "n", F.col("t.speaker").alias("speaker"), F.col("t.utterance").alias("text"), F.col("t.frames").alias("frames"))
 
 
+def service_descriptions(members: DataFrame) -> DataFrame:
+    """(split, service, description) of the schema files of schema-guided dialogues."""
+    schema = "array<struct<service_name: string, description: string>>"
+    each = members.select(F.element_at(F.split("member", "/"), -2).alias("split"), F.explode(_parsed("content", schema)).alias("s"))
+    return each.select("split", F.col("s.service_name").alias("service"), F.col("s.description").alias("description"))
+
+
+def described_turns(turns: DataFrame, services: DataFrame) -> DataFrame:
+    """Turns of one service (``readers.unambiguous_service``) with its description in the schema of their own split; a
+    service that this does not describe is an error."""
+    known = services.groupBy("split", "service").agg(F.min("description").alias("description"), F.lit(True).alias("_known"))
+    met = turns.join(broadcast_if_small(known), ["split", "service"], "left")
+    problem = F.concat(F.lit("no schema for "), F.coalesce("split", F.lit("")), F.lit("/"), "service")
+    checked = met.withColumn("_ok", F.when(F.col("_known"), True).otherwise(F.raise_error(problem)))
+    return checked.filter("_ok").drop("_known", "_ok")
+
+
 def _rows_of(members: DataFrame, read, schema: str) -> DataFrame:
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -96,3 +96,24 @@ def test_curation_gates_and_needs_variants(spark):
     assert all(r["id"] < 20 for r in got) and len({r["text"] for r in got}) == len(got) and {r["category"] for r in got} <= {"a", "b"}
     hashes = {c: [r["hash"] for r in sorted(got, key=lambda r: r["place"]) if r["category"] == c] for c in "ab"}
     assert all(h == sorted(h) for h in hashes.values()) and hashes["a"]
+
+
+def test_decisions_make_the_round_trip(spark, tmp_path):
+    requests = spark.createDataFrame([(i, f"text {i}", "fam" if i < 3 else "other") for i in range(5)], "item_id bigint, text string, kind string")
+    written = X.export_requests(requests, str(tmp_path / "out"), family="kind", most_rows=2)
+    assert sorted((r["family"], r["chunk"], r["item_id"]) for r in written.collect()) == [("fam", 0, 0), ("fam", 0, 1), ("fam", 1, 2), ("other", 0, 3), ("other", 0, 4)]
+    back = spark.read.json(str(tmp_path / "out"))
+    assert sorted((r["item_id"], r["text"]) for r in back.collect()) == [(i, f"text {i}") for i in range(5)]
+    scenes = spark.createDataFrame([("a", "top")], "scene_key string, top_key string")
+    answer = lambda i, top="top", sub="a", why="fits": {"item_id": i, "top_scene": top, "sub_scene": sub, "reason": why}
+
+    def read(rows):
+        path = tmp_path / f"in{len(list(tmp_path.iterdir()))}.jsonl"
+        path.write_text("\n".join(json.dumps(r) for r in rows))
+        return X.import_decisions(spark, str(path), requests, scenes)
+
+    whole = [answer(0), *(answer(i, None, None) for i in range(1, 5))]
+    assert read(whole).count() == 5
+    for bad, problem in ((whole[:4], "4: missing"), ([*whole, answer(9)], "9: unexpected"), ([*whole, answer(1)], "1: repeated"), ([answer(0, "top", "b"), *whole[1:]], "0: unknown scene"), ([answer(0, None, "a"), *whole[1:]], "0: half a scene"), ([answer(0, why=" "), *whole[1:]], "0: no reason")):
+        with pytest.raises(ValueError, match=problem):
+            read(bad)

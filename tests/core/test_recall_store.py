@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -185,3 +186,17 @@ def test_repairs(spark):
     for answer, accepted in (("他付了7克朗。", 1), ("他付了钱。", 0)):
         done, left = translate.apply_repairs(todo, spark.createDataFrame([(1, answer, "n")], "id int, translation_zh string, review_note string"))
         assert (done.count(), left.count()) == (accepted, 1 - accepted)
+
+
+def test_recall_goes_on_where_it_was_broken_off(spark, tmp_path):
+    r = np.random.default_rng(5)
+    pool = spark.createDataFrame([(i, r.normal(size=3).tolist()) for i in range(50)], "vec_id bigint, embedding array<double>")
+    protos = spark.createDataFrame([("x", [1.0, 0.0, 0.0]), ("y", [0.0, 1.0, 0.0])], "label string, embedding array<double>")
+    folder = str(tmp_path / "recall")
+    run = lambda model="m1": sorted((x["label"], x["vec_id"], x["rank"]) for x in R.recall_in_parts(pool, protos, 4, folder, model=model, part_rows=20).collect())
+    want = sorted((x["label"], x["vec_id"], x["rank"]) for x in R.vector_top_k(pool, protos, 4).collect())
+    assert run() == want
+    shutil.rmtree(f"{folder}/part=1")
+    assert run() == want
+    with pytest.raises(ValueError, match="m1"):
+        run("m2")

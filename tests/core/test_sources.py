@@ -194,3 +194,13 @@ def test_malformed_members_are_errors(spark):
 def test_speakers_in_any_case(spark):
     df = spark.createDataFrame([("DOCTOR: Hello. Patient: Hi there. physician: Sit. P: Yes. D : Good. Guest_family: We came.",)], "dialogue string")
     assert [r["speaker"] for r in R.speaker_turns(df).collect()] == ["DOCTOR", "Patient", "physician", "P", "D", "Guest_family"]
+
+
+def test_services_are_described_by_their_own_split(spark):
+    schema = [{"service_name": "Rides_1", "description": "Order a ride"}]
+    members = spark.createDataFrame([("d/train/schema.json", json.dumps(schema))], "member string, content string")
+    turns = lambda split: spark.createDataFrame([(split, "Rides_1", "Hi")], "split string, service string, text string")
+    services = A.service_descriptions(members)
+    assert [r["description"] for r in A.described_turns(turns("train"), services).collect()] == ["Order a ride"]
+    with pytest.raises(Exception, match="no schema for dev/Rides_1"):
+        A.described_turns(turns("dev"), services).collect()
