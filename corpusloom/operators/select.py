@@ -49,11 +49,13 @@ def kernel(pool: DataFrame) -> DataFrame:
 
     Four cuts, each by rank: parallel rows of one source and author, rows of a source, rows of an author, rows of the
     scene. The rank is that in the full pool, so gaps stay; it and the place in the scene come from ranges, so no scene is
-    sorted in one task. ``pool`` also needs tie_hash.
+    sorted in one task. ``pool`` also needs tie_hash, which only protected rows keep.
     """
     rows = pool.withColumns(limits(F.col("quota"))).withColumn("_author", _author_key())
     blank = F.col("_author").startswith("blank:")
-    regular = with_places(rows.filter(~F.col("protected")), ["scene"], _order(), out="selection_rank").withColumn("selection_rank", F.col("selection_rank").cast("int"))
+    regular = with_places(rows.filter(~F.col("protected")), ["scene"], _order(), out="selection_rank")
+    # the rank stands for confidence, hash and id from here on, so the long hashes need not travel
+    regular = regular.withColumns({"selection_rank": F.col("selection_rank").cast("int"), "tie_hash": F.lit(None).cast("string")})
     rank = lambda *keys: F.row_number().over(Window.partitionBy("scene", *keys).orderBy("selection_rank"))
     regular = regular.withColumn("_pair", rank("source_name", "_author")).filter(F.col("_pair") <= F.when(blank, F.col("source_limit")).otherwise(F.col("pair_limit")))
     regular = regular.withColumn("_source", rank("source_name")).filter(F.col("_source") <= F.col("source_keep"))

@@ -54,20 +54,21 @@ def with_places(df: DataFrame, group: Sequence[str], order: Sequence[Column], *,
     """``df`` with each row's place, from 0, in its group by ``order``, and, if asked for, the ``running`` sum before it as
     ``_before``. ``order`` must be total within a group.
 
-    Rows are laid out in ranges of group and order, and the counts of the ranges before are added to the place in the own
-    range, so a group of any size is spread over tasks. The layout is kept in the checkpoint folder.
+    Rows are laid out in ranges of group and order and numbered as they lie, and the counts of the ranges before are added,
+    so a group of any size is spread over tasks and rows are shuffled once. The layout is kept in the checkpoint folder.
     """
     pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = F.lit(0) if running is None else running
-    laid = df.repartitionByRange(pieces, *group, *order).withColumns({"_piece": F.spark_partition_id(), "_value": value.cast("bigint")})
-    laid = cut_lineage(laid)
-    counts = laid.groupBy(*group, "_piece").agg(F.count("*").alias("_rows"), F.sum("_value").alias("_sum"))
+    laid = df.repartitionByRange(pieces, *group, *order).sortWithinPartitions(*group, *order)
+    # the number of a row is its partition's, shifted by 33 bits, plus its place there
+    laid = cut_lineage(laid.withColumns({"_at": F.monotonically_increasing_id(), "_value": value.cast("bigint")}))
+    piece = F.shiftright("_at", 33).alias("_piece")
+    counts = laid.groupBy(*group, piece).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"), F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*(F.col(c).alias(f"_of_{c}") for c in group), F.col("_piece").alias("_at"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_earlier") for c in ("_rows", "_sum")))
-    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.col("_piece") == F.col("_at")]
-    own = Window.partitionBy(*group, "_piece").orderBy(*order)
-    met = laid.join(broadcast_if_small(counts), on)
-    placed = met.withColumn(out, (F.row_number().over(own) - 1 + F.col("_rows_earlier")).cast("bigint"))
+    counts = counts.select(*(F.col(c).alias(f"_of_{c}") for c in group), F.col("_piece").alias("_of_piece"), "_first", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_earlier") for c in ("_rows", "_sum")))
+    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group] + [F.shiftright("_at", 33) == F.col("_of_piece")]
+    placed = laid.join(broadcast_if_small(counts), on).withColumn(out, F.col("_at") - F.col("_first") + F.col("_rows_earlier"))
     if running is not None:
+        own = Window.partitionBy(*group, "_of_piece").orderBy("_at")
         placed = placed.withColumn("_before", F.col("_sum_earlier") + F.sum("_value").over(own) - F.col("_value"))
-    return placed.drop("_piece", "_value", "_at", "_rows_earlier", "_sum_earlier", *(f"_of_{c}" for c in group))
+    return placed.drop("_value", "_at", "_first", "_rows_earlier", "_sum_earlier", "_of_piece", *(f"_of_{c}" for c in group))
